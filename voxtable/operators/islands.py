@@ -204,14 +204,18 @@ def smooth_switches(words: DataFrame, min_sec: float = 0.3, chunk_rows: int = CH
     )
 
 
-def fill_holes(frames: DataFrame, longest: int, chunk_rows: int = 65536) -> DataFrame:
-    """Turn inner non-speech runs of at most ``longest`` frames into speech."""
+def fill_holes(frames: DataFrame, longest: int | Column, chunk_rows: int = 65536) -> DataFrame:
+    """Turn inner non-speech runs of at most ``longest`` frames into speech.
+
+    ``longest`` may be a column, constant within a recording.
+    """
+    longest = longest if isinstance(longest, Column) else F.lit(longest)
     tl = by_position("frame_idx", chunk_rows=chunk_rows)
     tagged = runs(frames, tl, lambda p, c: p("speech") != c("speech"), ["speech"])
-    run = tagged.groupBy(ID, "run").agg(F.count("*").alias("__len"), F.min("frame_idx").alias("__at"))
+    run = tagged.groupBy(ID, "run").agg(F.count("*").alias("__len"), F.max(longest).alias("__most"))
     ends = run.groupBy(ID).agg(F.max("run").alias("__last"))
     run = attach(run, ends)
-    fill = (F.col("__len") <= longest) & (F.col("run") > 1) & (F.col("run") < F.col("__last"))
+    fill = (F.col("__len") <= F.col("__most")) & (F.col("run") > 1) & (F.col("run") < F.col("__last"))
     out = tagged.join(run.select(ID, "run", fill.alias("__fill")), [ID, "run"])
     return out.select(
         *[(F.col("speech") | F.col("__fill")).alias(c) if c == "speech" else F.col(c) for c in frames.columns]

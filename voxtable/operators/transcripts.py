@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import clean_before_ngrams, keep_script, split_sentences, squash_space, words
 
 
@@ -15,9 +16,9 @@ def collapse_ngrams(
 
     Repeats are counted as rows: an n-gram can only be frequent where its leading
     pair is, so pairs are counted first and longer grams are built at frequent
-    places only.  Reading a text is a walk over word positions: at a frequent gram
-    it jumps over the longest one.  The jumps of one text form a small array of the
-    size of the text itself and are walked inside its row.
+    places only.  Reading a text is a walk over word positions that jumps over the
+    longest frequent gram it meets; only the frequent places of one text, at most
+    as many as it has words, are walked inside its row.
     """
     out = out or text
     base = df.select(key, F.col(text).alias("__text")).filter("__text is not null")
@@ -53,33 +54,44 @@ def collapse_ngrams(
         .withColumn("c", F.count("*").over(Window.partitionBy(key, "n", "gram")))
         .filter(F.col("c") >= min_count)
     )
-    jumps = frequent.groupBy(key, "i").agg(F.max("n").alias("n"))
-    jumps = jumps.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("jump"))
+    jumps = frequent.groupBy(key, "i").agg(F.max(F.struct("n", "gram")).alias("best"))
+    jumps = jumps.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("i", "best.n", "best.gram"))).alias("jumps")
+    )
+    met = "array<struct<i:int,n:int,gram:string>>"
     walk = F.aggregate(
-        F.sequence(F.lit(0), F.size("w") - 1),
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,n:int>>").alias("at")),
-        lambda acc, i: F.when(i < acc["next"], acc).otherwise(
+        "jumps",
+        F.struct(F.lit(0).alias("next"), F.array().cast(met).alias("met")),
+        lambda acc, j: F.when(j["i"] < acc["next"], acc).otherwise(
             F.struct(
-                (i + F.coalesce(F.col("jump")[i], F.lit(1))).alias("next"),
-                F.concat(
-                    acc["at"],
-                    F.array(F.struct(i.alias("i"), F.coalesce(F.col("jump")[i], F.lit(0)).alias("n"))),
-                ).alias("at"),
+                (j["i"] + j["n"]).alias("next"), F.concat(acc["met"], F.array(j).cast(met)).alias("met")
             )
         ),
-    )["at"]
-    steps = long_texts.join(jumps, key).select(key, "w", F.explode(walk).alias("s"))
-    steps = steps.select(
-        key, F.col("s.i").alias("i"), F.col("s.n").alias("n"),
-        F.array_join(F.slice("w", F.col("s.i") + 1, F.greatest(F.col("s.n"), F.lit(1))), " ").alias("piece"),
+    )["met"]
+    visited = jumps.select(key, F.inline(walk))
+    again = visited.withColumn("first", F.min("i").over(Window.partitionBy(key, "n", "gram")))
+    drops = again.filter("i > first").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("i", "n"))).alias("drops")
     )
-    first = F.min("i").over(Window.partitionBy(key, "n", "piece"))
-    kept = steps.withColumn("first", first).filter("n = 0 or i = first")
-    rebuilt = kept.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), " ").alias("__new")
+    result = df.join(drops, key, "left")
+    w, gone = words(text), F.col("drops")
+    kept = let(
+        w,
+        lambda w: F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.size(gone)),
+                lambda k: let(
+                    F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1)["i"] + F.get(gone, k - 1)["n"]),
+                    lambda a: F.slice(
+                        w, a + 1,
+                        F.when(k == F.size(gone), F.size(w)).otherwise(F.get(gone, k)["i"]) - a,
+                    ),
+                ),
+            )
+        ),
     )
-    result = df.join(rebuilt, key, "left").withColumn("__new", F.coalesce("__new", F.col(text)))
-    return result.withColumn(out, F.col("__new")).drop("__new")
+    new = F.when(gone.isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text))
+    return result.withColumn(out, new).drop("drops")
 
 
 def clean_transcript(df: DataFrame, key: str, text: str = "text") -> DataFrame:
