@@ -1 +1,7 @@
+"""The query catalogue."""
 
+from . import timelines
+from .fixtures import Tables
+from .registry import CATALOG
+
+__all__ = ["CATALOG", "Tables"]

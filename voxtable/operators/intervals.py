@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import midpoint, overlap_sec
 from ..functions.text import strip, words as split_words
 from .islands import ID, merge_consecutive
-from .ordered import CHUNK_SEC, Timeline, attach, by_position, by_time, carry, join_text
+from .ordered import CHUNK_SEC, Timeline, attach, by_position, by_time, carry, durable, join_text
 
 BUCKET_SEC = 30.0
 
@@ -109,7 +109,7 @@ def assign_words(words: DataFrame, segments: DataFrame, min_conf: float = 0.35)
         .groupBy(ID, F.col("l_pos").alias("pos"))
         .agg(F.max("ov").alias("ov"), F.max_by("r_speaker", F.struct("ov", -F.col("r_pos"))).alias("hit"))
     )
-    scored = words.drop("speaker", "confidence").join(best, [ID, "pos"], "left")
+    scored = durable(words.drop("speaker", "confidence").join(best, [ID, "pos"], "left"))
     alone = scored.filter("hit is null").select(ID, "pos", midpoint().alias("t"))
     near = nearest(alone, _edges(segments)).select(ID, "pos", F.col("r_speaker").alias("near"))
     scored = scored.join(near, [ID, "pos"], "left")
@@ -120,7 +120,7 @@ def assign_words(words: DataFrame, segments: DataFrame, min_conf: float = 0.35)
     )
     scored = scored.withColumn("own", F.coalesce("hit", "near"))
     first = scored.groupBy(ID).agg(F.min("pos").alias("__first"))
-    scored = attach(scored, first)
+    scored = durable(attach(scored, first))
     anchor = (F.col("confidence") >= min_conf) | (F.col("pos") == F.col("__first"))
     scored = carry(scored, by_position(), {"speaker": ("last", F.when(anchor, F.col("own")))})
     return scored.select(*words.columns)
@@ -193,7 +193,7 @@ def assign_phrases(phrases: DataFrame, segments: DataFrame, min_overlap: float =
         F.max_by(F.struct("r_pos", "ov0", "ov1"), F.struct("ov", -F.col("ov0"), -F.col("r_pos"))).alias("top"),
         F.sum("ov").alias("total"),
     )
-    joined = spoken.join(per_phrase, [ID, "pos"], "left").withColumn("w", split_words("text"))
+    joined = durable(spoken.join(per_phrase, [ID, "pos"], "left")).withColumn("w", split_words("text"))
     whole = F.array(
         F.struct(
             F.col("top.r_pos").alias("r_pos"), F.col("top.ov0").alias("a"), F.col("top.ov1").alias("b"),
@@ -271,10 +271,10 @@ def speaker_at(phrases: DataFrame, segments: DataFrame) -> DataFrame:
         overlap_pairs(probe, _right(segments)).groupBy(ID, F.col("l_pos").alias("pos"))
         .agg(F.min_by("r_speaker", "r_pos").alias("inside"))
     )
-    found = points.join(inside, [ID, "pos"], "left")
+    found = durable(points.join(inside, [ID, "pos"], "left"))
     near = nearest(found.filter("inside is null"), _edges(segments)).select(ID, "pos", "r_speaker")
     found = found.join(near, [ID, "pos"], "left").withColumn("speaker", F.coalesce("inside", "r_speaker"))
-    named = phrases.join(found.filter("speaker is not null").select(ID, "pos", "speaker"), [ID, "pos"])
+    named = durable(phrases.join(found.filter("speaker is not null").select(ID, "pos", "speaker"), [ID, "pos"]))
     turns = named.withColumn("turn", F.col("pos")).withColumn("text_original", F.col("text"))
     merged = merge_consecutive(turns.withColumn("alignment", F.lit("legacy")))
     return merged.withColumns({"start_sec": F.round("start_sec", 2), "end_sec": F.round("end_sec", 2)})

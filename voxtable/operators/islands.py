@@ -15,6 +15,7 @@ from .ordered import (
     by_position,
     by_time,
     carry,
+    durable,
     join_text,
     number,
     runs,
@@ -124,7 +125,7 @@ def words_to_turns(words: DataFrame, gap: float = 0.6, chunk_rows: int = CHUNK_R
     def breaks(p, c):
         return (p("speaker") != c("speaker")) | (c("start_sec") - p("end_sec") > gap)
 
-    islands = runs(usable, tl, breaks, ["speaker", "start_sec", "end_sec"])
+    islands = durable(runs(usable, tl, breaks, ["speaker", "start_sec", "end_sec"]))
     inner = by_position(key=(ID, "run"), chunk_rows=chunk_rows)
     ranked = number(islands, inner, "nth")
     size = ranked.groupBy(ID, "run").agg(F.count("*").alias("size"))
@@ -174,7 +175,7 @@ def smooth_switches(words: DataFrame, min_sec: float = 0.3, chunk_rows: int = CH
     away: in a streak of adjacent candidates those at odd places change.
     """
     tl = by_position(chunk_rows=chunk_rows)
-    word_runs = runs(words, tl, lambda p, c: ~p("speaker").eqNullSafe(c("speaker")), ["speaker"])
+    word_runs = durable(runs(words, tl, lambda p, c: ~p("speaker").eqNullSafe(c("speaker")), ["speaker"]))
     run = word_runs.groupBy(ID, "run").agg(
         F.first("speaker").alias("speaker"),
         F.min_by("start_sec", "pos").alias("start_sec"),
@@ -211,7 +212,7 @@ def fill_holes(frames: DataFrame, longest: int | Column, chunk_rows: int = 65536
     """
     longest = longest if isinstance(longest, Column) else F.lit(longest)
     tl = by_position("frame_idx", chunk_rows=chunk_rows)
-    tagged = runs(frames, tl, lambda p, c: p("speech") != c("speech"), ["speech"])
+    tagged = durable(runs(frames, tl, lambda p, c: p("speech") != c("speech"), ["speech"]))
     run = tagged.groupBy(ID, "run").agg(F.count("*").alias("__len"), F.max(longest).alias("__most"))
     ends = run.groupBy(ID).agg(F.max("run").alias("__last"))
     run = attach(run, ends)

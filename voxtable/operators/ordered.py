@@ -75,7 +75,12 @@ def by_position(
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so a lost executor costs nothing."""
+    """Write a result to the shared checkpoint folder and go on from there.
+
+    The carries read their input twice, so a rule of several ordered steps would
+    run its first step many times over; such rules cut the lineage between steps.
+    It also means that a lost executor costs only the current step.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.signal import rms
 from .intervals import overlap_pairs
 from .islands import ID, fill_holes
-from .ordered import Timeline, attach, by_position, carry, runs, spans
+from .ordered import Timeline, attach, by_position, carry, durable, runs, spans
 
 FRAME_SEC, HOP_SEC = 0.025, 0.010
 
@@ -88,14 +88,15 @@ def speech_regions(
     )
     per_rec = limits.join(noise_threshold(frames), ID)
     loud = attach(frames, per_rec).filter("threshold is not null")
-    loud = loud.withColumn("speech", F.col("rms") >= F.col("threshold"))
+    loud = durable(loud.withColumn("speech", F.col("rms") >= F.col("threshold")))
     closed = fill_holes(loud, F.col("silence_frames"), chunk_rows)
+    closed = durable(closed)
     tagged = runs(closed, by_position("frame_idx", chunk_rows=chunk_rows), lambda p, c: p("speech") != c("speech"), ["speech"])
     region = tagged.filter("speech").groupBy(ID, "run").agg(
         F.count("*").alias("len"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"),
         *[F.max(c).alias(c) for c in ("hop", "frame", "n_samples", "sample_rate", "speech_frames")],
     )
-    region = region.filter("len >= speech_frames").select(
+    region = durable(region.filter("len >= speech_frames")).select(
         ID,
         (F.col("first") * F.col("hop") / F.col("sample_rate").cast("double")).alias("start_sec"),
         (
@@ -109,7 +110,7 @@ def speech_regions(
     whole = whole.filter((F.col("n_samples") > 0) & (short | (F.col("peak") > 1e-5))).select(
         ID, F.lit(0.0).alias("start_sec"), (F.col("n_samples") / F.col("sample_rate").cast("double")).alias("end_sec")
     )
-    found = region.unionByName(whole)
+    found = durable(region.unionByName(whole))
     tl = Timeline(("start_sec", "end_sec"), F.floor(F.col("start_sec") / 600.0))
     return carry(found, tl, {"pos": ("sum", F.lit(1).cast("long"))}).select(
         ID, (F.col("pos") - 1).alias("pos"), "start_sec", "end_sec"
