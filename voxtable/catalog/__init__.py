@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import timelines
+from . import texts, timelines
 from .fixtures import Tables
 from .registry import CATALOG
 

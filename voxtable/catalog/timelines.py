@@ -80,12 +80,12 @@ SPOKEN = "spoken AS (SELECT * REPLACE (CASE WHEN length(word) % 3 = 0 THEN 's0'
 register(
     "words_to_turns",
     lambda t: islands.words_to_turns(_spoken(t), chunk_rows=64),
+    "SELECT recording_id, turn, speaker, start_sec, end_sec, text, text AS text_original, list_reduce(cs, lambda a, b: (a + b) / 2) AS confidence FROM ("
     "SELECT i.recording_id, min(pos) AS turn, 'Speaker ' || any_value(n.k) AS speaker, min(start_sec) AS start_sec, max(end_sec) AS end_sec, "
-    "string_agg(word, ' ' ORDER BY pos) AS text, string_agg(word, ' ' ORDER BY pos) AS text_original, "
-    "list_reduce(list(confidence ORDER BY pos), lambda a, b: (a + b) / 2) AS confidence FROM (SELECT *, sum(chg) OVER (PARTITION BY recording_id ORDER BY pos) AS run FROM ("
+    "string_agg(word, ' ' ORDER BY pos) AS text, list(confidence ORDER BY pos) AS cs FROM (SELECT *, sum(chg) OVER (PARTITION BY recording_id ORDER BY pos) AS run FROM ("
     "SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_sec - lag(end_sec) OVER w <= 0.6 THEN 0 ELSE 1 END AS chg FROM spoken WINDOW w AS (PARTITION BY recording_id ORDER BY pos))) i "
-    "JOIN (SELECT recording_id, speaker, row_number() OVER (PARTITION BY recording_id ORDER BY min(pos)) AS k FROM spoken GROUP BY ALL) n "
-    "ON n.recording_id = i.recording_id AND n.speaker = i.speaker GROUP BY i.recording_id, run",
+    "JOIN (SELECT recording_id, speaker, row_number() OVER (PARTITION BY recording_id ORDER BY min(pos)) AS k FROM spoken GROUP BY recording_id, speaker) n "
+    "ON n.recording_id = i.recording_id AND n.speaker = i.speaker GROUP BY i.recording_id, run)",
     "words", also=SPOKEN, decimals="confidence",
 )
 register(

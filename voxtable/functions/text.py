@@ -148,10 +148,19 @@ def collapse_script_word_repeats(text) -> Column:
 
 
 def collapse_phrase_repeats(text, passes: int = 4) -> Column:
-    t = _c(text)
-    for _ in range(passes):
-        t = F.regexp_replace(t, rf"(?s)(.{{4,80}}?)(?:{SPACE}+\1)++", "$1")
-    return t
+    """A phrase of 4 to 80 characters said twice or more in a row is kept once.
+
+    Expects single spaces (:func:`squash_space`).  A pass that changes nothing is the
+    last one, so most texts are read once.
+    """
+
+    def run(t: Column, left: int) -> Column:
+        once = F.regexp_replace(t, r"([^ ].{2,78}?[^ ])(?: \1)++", "$1")
+        if left == 1:
+            return once
+        return let(once, lambda n: F.when(n == t, n).otherwise(run(n, left - 1)))
+
+    return let(_c(text), lambda t: run(t, passes))
 
 
 def collapse_whole_string_loop(text, shortest: int = 6, longest: int = 240) -> Column:

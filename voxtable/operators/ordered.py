@@ -88,6 +88,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Hash rows over all shuffle partitions; for work that is heavy per byte, which
+    neither the input splits nor size-based coalescing know about."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key)
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured or tempfile.mkdtemp(prefix="voxtable-checkpoint-")

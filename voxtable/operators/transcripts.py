@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.text import clean_before_ngrams, keep_script, split_sentences, squash_space, words
+from .ordered import durable, spread
 
 
 def collapse_ngrams(
@@ -22,20 +23,29 @@ def collapse_ngrams(
     """
     out = out or text
     base = df.select(key, F.col(text).alias("__text")).filter("__text is not null")
-    base = base.repartition(key).withColumn("w", words("__text"))
+    base = spread(base, key).withColumn("w", words("__text"))
     long_texts = base.filter(F.size("w") >= 12).select(key, "w")
 
-    def grams(source: DataFrame, sizes) -> DataFrame:
-        spots = source.select(key, "w", F.explode(sizes).alias("at"))
-        spots = spots.select(key, F.col("at.i").alias("i"), F.col("at.n").alias("n"), F.slice("w", F.col("at.i") + 1, F.col("at.n")).alias("g"))
-        letters = F.aggregate("g", F.lit(0), lambda a, x: a + F.length(x))
-        return spots.select(key, "i", "n", F.array_join("g", " ").alias("gram"), letters.alias("letters"))
+    def grams(source: DataFrame, spots) -> DataFrame:
+        # grams are cut out before the explode, which would repeat the word array per row
+        cut = F.transform(
+            spots,
+            lambda at: let(
+                F.slice("w", at["i"] + 1, at["n"]),
+                lambda g: F.struct(
+                    at["i"].alias("i"),
+                    at["n"].alias("n"),
+                    F.array_join(g, " ").alias("gram"),
+                    (F.length(F.array_join(g, ""))).alias("letters"),
+                ),
+            ),
+        )
+        return source.select(key, F.inline(cut))
 
     pairs = grams(
         long_texts,
         F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(i.alias("i"), F.lit(2).alias("n"))),
     )
-    often = Window.partitionBy(key, "gram")
     hot = pairs.withColumn("c", F.count("*").over(often)).filter(F.col("c") >= min_count)
     places = hot.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("hot"))
     dense = long_texts.join(places, key)
@@ -96,7 +106,7 @@ def collapse_ngrams(
 
 def clean_transcript(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Full cleaning: stutters, word, sentence and phrase loops, then n-gram loops."""
-    cleaned = df.withColumn(text, clean_before_ngrams(text))
+    cleaned = durable(spread(df, key).withColumn(text, clean_before_ngrams(text)))
     return collapse_ngrams(cleaned, key, text).withColumn(text, squash_space(text))
 
 

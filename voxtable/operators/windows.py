@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.signal import rms
 from .intervals import overlap_pairs
 from .islands import ID, fill_holes
@@ -23,9 +24,10 @@ def frame_rms(waveforms: DataFrame) -> DataFrame:
     n = F.size("samples")
     sized = waveforms.filter(n >= frame).withColumn("__frame", frame).withColumn("__hop", hop)
     last = F.floor((n - F.col("__frame")) / F.col("__hop")).cast("int")
-    framed = sized.select(ID, "samples", "__frame", "__hop", F.explode(F.sequence(F.lit(0), last)).alias("frame_idx"))
-    part = F.slice("samples", F.col("frame_idx") * F.col("__hop") + 1, F.col("__frame"))
-    return framed.select(ID, "frame_idx", rms(part).alias("rms"))
+    levels = F.transform(
+        F.sequence(F.lit(0), last), lambda i: let(F.slice("samples", i * F.col("__hop") + 1, F.col("__frame")), lambda part: rms(part))
+    )
+    return sized.select(ID, F.posexplode(levels).alias("frame_idx", "rms"))
 
 
 def skip_silent(windows: DataFrame, floor_rms: float, samples: str = "samples") -> DataFrame:

@@ -36,11 +36,11 @@ def file_name(path) -> Column:
 
 def suffix(path) -> Column:
     """Last suffix in lower case; names that only start with a dot have none."""
-    return F.lower(F.regexp_extract(file_name(path), r"[^.](\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(file_name(path), r"^.+(\.[^.]+)$", 1))
 
 
 def stem(path) -> Column:
-    return F.regexp_replace(file_name(path), r"(?<=[^.])\.[^.]+$", "")
+    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]+$", "$1")
 
 
 def scan_recordings(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
