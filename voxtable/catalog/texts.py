@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages, text as tx
 from ..operators import transcripts
-from ..operators.ordered import Timeline, carry
+from ..operators.ordered import Timeline, carry, spread
 from ..sources import files as fl
 from .fixtures import Tables
 from .registry import register
@@ -57,7 +57,7 @@ register("mark_vocalization", lambda t: _stuttering(t).select(ID, tx.mark_vocali
          "SELECT recording_id, regexp_replace(text, '\\b(?:[A-Za-z]-){12,}[A-Za-z]?\\b', '[vocalization]', 'g') AS result FROM st", "transcripts", _STUTTER)
 _col("collapse_word_repeats", tx.collapse_word_repeats("text"))
 _col("collapse_script_word_repeats", tx.collapse_script_word_repeats("text"))
-_col("collapse_phrase_repeats", tx.collapse_phrase_repeats(tx.squash_space("text")))
+register("collapse_phrase_repeats", lambda t: spread(t.transcripts(), ID).select(ID, tx.collapse_phrase_repeats(tx.squash_space("text")).alias("result")))
 
 
 def _copied(t: Tables):
@@ -116,7 +116,7 @@ register("filter_script_mismatch", lambda t: transcripts.filter_script_mismatch(
 register(
     "resolve_language",
     lambda t: t.transcripts().select(ID, tx.resolve_language("text", "lang").alias("language"), tx.display_text("text", F.concat(F.lit("> "), "text"), tx.resolve_language("text", "lang")).alias("shown")),
-    f"SELECT recording_id, language, CASE WHEN language IN ('en', 'kn') OR {_STRIP.format(''> ' || text')} = '' THEN {_STRIP.format('text')} ELSE {_STRIP.format(''> ' || text')} END AS shown FROM ("
+    f"SELECT recording_id, language, CASE WHEN language IN ('en', 'kn') OR {_STRIP.format('('> ' || text)')} = '' THEN {_STRIP.format('text')} ELSE {_STRIP.format('('> ' || text)')} END AS shown FROM ("
     f"SELECT *, coalesce({_LANG}, CASE WHEN {_ENGLISH.format(t='text')} THEN 'en' END, nullif(lower(lang), ''), 'en') AS language FROM sc)",
     "transcripts", _SC,
 )

@@ -73,10 +73,10 @@ register("merge_consecutive", lambda t: islands.merge_consecutive(_plain_turns(t
 def _spoken(t: Tables):
     """Words with a speaker and a confidence taken from their length."""
     n = F.length("word")
-    return t.words().withColumns({"speaker": F.when(n % 3 == 0, F.lit("s0")).otherwise(F.lit("s1")), "confidence": (n % 10) / 10.0})
+    return t.words().withColumns({"speaker": F.when(n % 3 == 0, F.lit("s0")).otherwise(F.lit("s1")), "confidence": (n % 10) / 9.7})
 
 
-SPOKEN = "spoken AS (SELECT * REPLACE (CASE WHEN length(word) % 3 = 0 THEN 's0' ELSE 's1' END AS speaker, (length(word) % 10) / 10.0::DOUBLE AS confidence) FROM words)"
+SPOKEN = "spoken AS (SELECT * REPLACE (CASE WHEN length(word) % 3 = 0 THEN 's0' ELSE 's1' END AS speaker, (length(word) % 10) / 9.7::DOUBLE AS confidence) FROM words)"
 register(
     "words_to_turns",
     lambda t: islands.words_to_turns(_spoken(t), chunk_rows=64),

@@ -46,7 +46,7 @@ def collapse_ngrams(
         long_texts,
         F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(i.alias("i"), F.lit(2).alias("n"))),
     )
-    hot = pairs.withColumn("c", F.count("*").over(often)).filter(F.col("c") >= min_count)
+    hot = pairs.withColumn("c", F.count("*").over(Window.partitionBy(key, "gram"))).filter(F.col("c") >= min_count)
     places = hot.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("hot"))
     dense = long_texts.join(places, key)
     sizes = F.flatten(
