@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from . import sounds, texts, timelines
+from . import records, sounds, texts, timelines
 from .fixtures import Tables
 from .registry import CATALOG
 

@@ -76,7 +76,7 @@ def _records(t: Tables):
 
 
 _ST = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-_RECS = _KEYED + f", fused AS ({_FUSED}), ev AS (SELECT recording_id, list(label ORDER BY rank) AS labels, string_agg(label || printf(' (%.2f)', score), ', ' ORDER BY rank) AS scored FROM fused GROUP BY recording_id), " + (
+_RECS = _KEYED + f", fused AS ({_FUSED}), ev AS (SELECT recording_id, list(label ORDER BY rank) AS labels, string_agg(label || printf(' (%.2f)', score + 1e-9), ', ' ORDER BY rank) AS scored FROM fused GROUP BY recording_id), " + (
     f"recs AS (SELECT t.recording_id, CASE WHEN t.recording_id % 4 = 3 THEN '' ELSE p END AS transcript, CASE WHEN t.recording_id % 4 = 3 THEN '' ELSE 'o ' || p END AS transcript_original, ['happy', '', 'neutral', 'sad'][t.recording_id % 4 + 1] AS emotion, "
     f"CASE WHEN t.recording_id % 4 = 1 THEN 'fr' ELSE 'en' END AS language, labels, scored, lines, n FROM (SELECT recording_id, string_agg({_ST.format('text')}, ' ' ORDER BY turn) AS p, string_agg(speaker || ': ' || {_ST.format('text')}, E'\\n' ORDER BY turn) AS lines, "
     f"count(DISTINCT speaker) AS n FROM turns WHERE {_ST.format('text')} <> '' GROUP BY recording_id) t LEFT JOIN ev USING (recording_id))"

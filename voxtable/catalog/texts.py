@@ -102,6 +102,7 @@ register("collapse_ngrams", lambda t: transcripts.collapse_ngrams(t.transcripts(
 register("clean_transcript", lambda t: transcripts.clean_transcript(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
 _col("clean_preserving", tx.clean_preserving("text"))
 _HAS = "CASE lang " + " ".join(f"WHEN '{c}' THEN {c}_n > 0" for c in tx.SCRIPTS) + " ELSE false END"
+_SHOWN = "('> ' || text)"
 _INDIC = "('" + "', '".join(tx.SCRIPTS) + "')"
 register(
     "keep_script",
@@ -116,7 +117,7 @@ register("filter_script_mismatch", lambda t: transcripts.filter_script_mismatch(
 register(
     "resolve_language",
     lambda t: t.transcripts().select(ID, tx.resolve_language("text", "lang").alias("language"), tx.display_text("text", F.concat(F.lit("> "), "text"), tx.resolve_language("text", "lang")).alias("shown")),
-    f"SELECT recording_id, language, CASE WHEN language IN ('en', 'kn') OR {_STRIP.format('('> ' || text)')} = '' THEN {_STRIP.format('text')} ELSE {_STRIP.format('('> ' || text)')} END AS shown FROM ("
+    f"SELECT recording_id, language, CASE WHEN language IN ('en', 'kn') OR {_STRIP.format(_SHOWN)} = '' THEN {_STRIP.format('text')} ELSE {_STRIP.format(_SHOWN)} END AS shown FROM ("
     f"SELECT *, coalesce({_LANG}, CASE WHEN {_ENGLISH.format(t='text')} THEN 'en' END, nullif(lower(lang), ''), 'en') AS language FROM sc)",
     "transcripts", _SC,
 )
