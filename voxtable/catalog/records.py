@@ -6,13 +6,12 @@ import os
 import tempfile
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import signal as sg
 from ..operators import dataset, embeddings, log, metrics, scoring, speakers, transcripts, windows
 from ..operators.islands import merge_consecutive
-from ..operators.ordered import attach, durable
+from ..operators.ordered import attach
 from ..plans import analyze as an, diarize as di
 from ..sources import log as lg
 from ..streaming import windows as st
@@ -233,23 +232,12 @@ def _regions(t: Tables):
 register("label_speakers", lambda t: embeddings.label_speakers(_regions(t), _regions(t).withColumn("end_sec", F.col("start_sec") + 1.5)))
 
 
-def _linear_scorer():
-    """Loads a NumPy linear model: weights of a fixed rule, ten classes over 64 dimensions."""
-    w = np.cos(np.outer(np.arange(64), np.arange(1, 11)))
-
-    def predict(batch: pd.DataFrame) -> pd.DataFrame:
-        logits = np.stack(batch["embedding"].to_numpy()).astype(float) @ w
-        return pd.DataFrame({"vec_id": batch["vec_id"], "best": logits.argmax(axis=1), "score": logits.max(axis=1)})
-
-    return predict
-
-
 register(
     "score_batches",
-    lambda t: scoring.score_batches(t.read("embeddings").select("vec_id", "embedding"), _linear_scorer, "vec_id long, best long, score double").select("vec_id", "best", F.round("score", 5).alias("score")),
+    lambda t: scoring.score_batches(t.read("embeddings").select("vec_id", "embedding"), scoring.linear_scorer(np.cos(np.outer(np.arange(64), np.arange(1, 11))), "vec_id", "embedding"), "vec_id long, best long, score double").select("vec_id", "best", F.round("score", 5).alias("score")),
     "SELECT vec_id, arg_max(c, s) AS best, round(max(s), 5) AS score FROM (SELECT vec_id, c - 1 AS c, sum(x * cos(d * c)) AS s FROM (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), range(1, 11) r(c) GROUP BY ALL) GROUP BY vec_id",
 )
-_E = "SELECT vec_id // 20 AS recording_id, vec_id % 20 AS pos, unnest(range(len(v))) AS d, unnest(v) AS x FROM (SELECT vec_id, {v} AS v FROM embeddings)"
+_E = "SELECT vec_id // 20 AS recording_id, vec_id % 20 AS pos, unnest(range(len(v))) AS d, unnest(v)::DOUBLE AS x FROM (SELECT vec_id, {v} AS v FROM embeddings)"
 register("softmax", lambda t: _unnest(t.embeddings(), sg.softmax("vec")), "SELECT recording_id, pos, d, round(exp(x) / sum(exp(x)) OVER (PARTITION BY recording_id, pos), 4) AS x FROM (SELECT recording_id, pos, unnest(range(64)) AS d, unnest(vec)::DOUBLE AS x FROM emb)", "emb")
 register(
     "standardize", lambda t: _unnest(t.embeddings(), sg.standardize("vec")),
@@ -276,8 +264,8 @@ register("cap_duration", lambda t: _samples(t, sg.cap_duration("samples", "sampl
 register("slice_span", lambda t: _samples(t, sg.slice_span("samples", "sample_rate", F.lit(0.05), F.lit(0.3))), _S.format(s="list_transform(samples[11:60], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
 register(
     "skip_silent",
-    lambda t: windows.skip_silent(t.waveforms(), 0.3).select(ID),
-    "SELECT recording_id FROM waveforms WHERE sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x::DOUBLE)) / len(samples) + 1e-12) >= 0.3", "waveforms",
+    lambda t: windows.skip_silent(t.waveforms(), 0.2).select(ID),
+    "SELECT recording_id FROM waveforms WHERE sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x::DOUBLE)) / len(samples) + 1e-12) >= 0.2", "waveforms",
 )
 
 # --- collapse rules

@@ -24,23 +24,23 @@ _LANG = f"CASE WHEN {_TOP} >= CASE WHEN stripped <= 24 THEN 1 ELSE 2 END THEN {_
 
 
 def _col(name, column, sql=None, views="transcripts", also="", **kw):
-    register(name, lambda t: t.transcripts().select(ID, column.alias("result")), sql, views if sql else "", also, **kw)
+    register(name, lambda t: t.transcripts().select(ID, column().alias("result")), sql, views if sql else "", also, **kw)
 
 
-_col("infer_language", tx.infer_language("text"), f"SELECT recording_id, {_LANG} AS result FROM sc", also=_SC)
-_col("contains_indic", tx.contains_indic("text"), f"SELECT recording_id, ({_LANG}) IS NOT NULL AS result FROM sc", also=_SC)
+_col("infer_language", lambda: tx.infer_language("text"), f"SELECT recording_id, {_LANG} AS result FROM sc", also=_SC)
+_col("contains_indic", lambda: tx.contains_indic("text"), f"SELECT recording_id, ({_LANG}) IS NOT NULL AS result FROM sc", also=_SC)
 _LOWQ = "(text = '' OR contains(lower(text), 'commission') OR contains(lower(text), 'subscribe') OR (len(k) >= 8 AND len(list_distinct(k)) <= 3))"
 _KN = "kn AS (SELECT *, regexp_extract_all(text, '[\\x{0C80}-\\x{0CFF}]') AS k FROM transcripts)"
-_col("is_low_quality", tx.is_low_quality("text"), f"SELECT recording_id, {_LOWQ} AS result FROM kn", also=_KN)
+_col("is_low_quality", lambda: tx.is_low_quality("text"), f"SELECT recording_id, {_LOWQ} AS result FROM kn", also=_KN)
 _col(
-    "is_meaningful_speech", tx.is_meaningful_speech("text"),
+    "is_meaningful_speech", lambda: tx.is_meaningful_speech("text"),
     f"SELECT recording_id, s <> '' AND s <> '[No speech detected]' AND length(r) >= 3 AND (regexp_matches(r, '[A-Za-z\\x{{0900}}-\\x{{0D7F}}]{{2}}') OR length(r) >= 4) AS result FROM ("
     f"SELECT recording_id, s, {_STRIP.format(chr(39).join(['replace(s, ', '[vocalization]', ', ', '', ')']))} AS r FROM (SELECT recording_id, {_STRIP.format('text')} AS s FROM transcripts))",
 )
 _ENGLISH = "(len(regexp_extract_all({t}, '\\p{{L}}')) >= 4 AND len(regexp_extract_all({t}, '[A-Za-z]')) / greatest(len(regexp_extract_all({t}, '\\p{{L}}')), 1) >= 0.85)"
-_col("is_likely_english", tx.is_likely_english("text"), f"SELECT recording_id, {_ENGLISH.format(t='text')} AS result FROM transcripts")
-_col("strip_language_tag", tx.strip_language_tag("text"), f"SELECT recording_id, {_STRIP.format(chr(39).join(['regexp_replace(' + _STRIP.format('text') + ', ', '^\\[[^\\]]+\\]\\s*', ', ', '', ')']))} AS result FROM transcripts")
-_col("squash_space", tx.squash_space("text"), f"SELECT recording_id, {_SQUASH.format('text')} AS result FROM transcripts")
+_col("is_likely_english", lambda: tx.is_likely_english("text"), f"SELECT recording_id, {_ENGLISH.format(t='text')} AS result FROM transcripts")
+_col("strip_language_tag", lambda: tx.strip_language_tag("text"), f"SELECT recording_id, {_STRIP.format(chr(39).join(['regexp_replace(' + _STRIP.format('text') + ', ', '^\\[[^\\]]+\\]\\s*', ', ', '', ')']))} AS result FROM transcripts")
+_col("squash_space", lambda: tx.squash_space("text"), f"SELECT recording_id, {_SQUASH.format('text')} AS result FROM transcripts")
 
 
 def _stuttering(t: Tables):
@@ -55,8 +55,8 @@ _STUTTER = (
 )
 register("mark_vocalization", lambda t: _stuttering(t).select(ID, tx.mark_vocalization("text").alias("result")),
          "SELECT recording_id, regexp_replace(text, '\\b(?:[A-Za-z]-){12,}[A-Za-z]?\\b', '[vocalization]', 'g') AS result FROM st", "transcripts", _STUTTER)
-_col("collapse_word_repeats", tx.collapse_word_repeats("text"))
-_col("collapse_script_word_repeats", tx.collapse_script_word_repeats("text"))
+_col("collapse_word_repeats", lambda: tx.collapse_word_repeats("text"))
+_col("collapse_script_word_repeats", lambda: tx.collapse_script_word_repeats("text"))
 register("collapse_phrase_repeats", lambda t: spread(t.transcripts(), ID).select(ID, tx.collapse_phrase_repeats(tx.squash_space("text")).alias("result")))
 
 
@@ -100,7 +100,7 @@ register(
 )
 register("collapse_ngrams", lambda t: transcripts.collapse_ngrams(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
 register("clean_transcript", lambda t: transcripts.clean_transcript(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
-_col("clean_preserving", tx.clean_preserving("text"))
+_col("clean_preserving", lambda: tx.clean_preserving("text"))
 _HAS = "CASE lang " + " ".join(f"WHEN '{c}' THEN {c}_n > 0" for c in tx.SCRIPTS) + " ELSE false END"
 _SHOWN = "('> ' || text)"
 _INDIC = "('" + "', '".join(tx.SCRIPTS) + "')"

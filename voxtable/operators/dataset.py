@@ -57,8 +57,8 @@ def train_classifier(
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    weights = class_weights(rows.filter("part = 'train'"), label, n_classes)
-    ready = rows.join(weights, F.col(label).cast("long") == weights["label"]).select(
+    weights = class_weights(rows.filter("part = 'train'"), label, n_classes).withColumnRenamed("label", "__label")
+    ready = rows.join(weights, F.col(label).cast("long") == F.col("__label")).select(
         F.col(id_).alias("id"), F.col(label).cast("double").alias("y"), "weight", "part",
         array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("x"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.signal import cosine_distance, dot, unit
 from .islands import ID, number_speakers
-from .ordered import attach, by_position, carry
+from .ordered import attach, by_position, carry, durable
 
 PITCH_DIMS, PITCH_WEIGHT, FULL_DIMS = 3, 3.0, 43
 
@@ -249,8 +249,8 @@ def label_speakers(
     regions = usable.join(enough, ID, "left_semi")
     windows = window_emb.withColumn("strict", hard).join(enough, ID, "left_anti")
     cols = [ID, "pos", "start_sec", "end_sec", "vec", "strict"]
-    used = normalize_embeddings(regions.select(cols).unionByName(windows.select(cols)))
+    used = durable(normalize_embeddings(regions.select(cols).unionByName(windows.select(cols))))
     labels = cluster_speakers(used, max_speakers, threshold, F.col("strict"))
     named = used.select(ID, "pos", "start_sec", "end_sec").join(labels, [ID, "pos"])
-    named = named.withColumn("speaker", F.col("label").cast("string"))
+    named = durable(named.withColumn("speaker", F.col("label").cast("string")))
     return number_speakers(named, ("pos",)).select(ID, "pos", "speaker", "start_sec", "end_sec")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -24,3 +25,16 @@ def score_batches(
             yield predict(batch)
 
     return df.mapInPandas(run, schema)
+
+
+def linear_scorer(weights: np.ndarray, id_: str, vec: str) -> Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]:
+    """A loader for a linear model: best class and its score per row."""
+
+    def load() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def predict(batch: pd.DataFrame) -> pd.DataFrame:
+            logits = np.stack(batch[vec].to_numpy()).astype(float) @ weights
+            return pd.DataFrame({id_: batch[id_], "best": logits.argmax(axis=1), "score": logits.max(axis=1)})
+
+        return predict
+
+    return load

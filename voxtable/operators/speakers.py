@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import turn_duration
 from ..functions.text import DIALOGUE_CUES, strip
 from .islands import ID, merge_consecutive, merge_segments, switch_stats
-from .ordered import CHUNK_ROWS, Timeline, attach, by_position, by_time, carry, collect_rows, join_text, number
+from .ordered import CHUNK_ROWS, attach, by_position, by_time, carry, durable, join_text
 from .transcripts import sentences
 
 
@@ -137,13 +137,13 @@ def normalize_turns(turns: DataFrame, language: str = "lang") -> DataFrame:
     )
     merged = merge_consecutive(turns.drop(language))
     state = langs.join(fixed, ID)
-    merged = attach(merged, state).withColumn("__kn", is_kannada(language))
+    merged = durable(attach(merged, state).withColumn("__kn", is_kannada(language)))
     keep = merged.filter(F.coalesce("__fixed", F.lit(False))).drop("__fixed", "__kn", language)
     loose = merged.filter(~F.coalesce("__fixed", F.lit(False))).drop("__fixed", language)
     kn = F.col("__kn")
     pick = lambda a, b: F.when(kn, F.lit(a)).otherwise(F.lit(b))
-    loose = _with_flag(loose, collapse_weak_speaker(loose, pick(0.32, 0.22), pick(2, 3)))
-    loose = _with_flag(loose, collapse_ping_pong(loose, pick(0.55, 0.7), pick(8.0, 5.0)))
+    loose = durable(_with_flag(loose, collapse_weak_speaker(loose, pick(0.32, 0.22), pick(2, 3))))
+    loose = durable(_with_flag(loose, collapse_ping_pong(loose, pick(0.55, 0.7), pick(8.0, 5.0))))
     flips = _drop_flips(loose.filter("__kn"))
     done = loose.filter("not __kn").drop("__kn").unionByName(merge_consecutive(flips.drop("__kn")), allowMissingColumns=True)
     return keep.unionByName(done, allowMissingColumns=True)
@@ -215,7 +215,7 @@ def dialogue_speakers(
         ID, "first_pos",
         F.coalesce(F.least(F.col("begin.pos") + F.col("begin.shift"), F.col("last_pos")), F.col("first_pos")).alias("from_pos"),
     )
-    said = flags.join(per_rec, ID)
+    said = durable(flags.join(per_rec, ID))
     inside = F.col("pos") >= F.col("from_pos")
     one = F.col("self_b") | (~F.col("self_a") & F.col("addresses_a") & ~F.col("addresses_b"))
     two = F.col("self_a") | (F.col("addresses_b") & ~F.col("addresses_a"))
@@ -227,7 +227,7 @@ def dialogue_speakers(
     turnover = (
         F.col("fixed").isNull() & F.col("active") & ~F.col("follow_up") & (F.col("pos") > F.col("first_pos"))
     )
-    said = carry(said, tl, {"flips": ("sum", turnover.cast("long"))})
+    said = durable(carry(said, tl, {"flips": ("sum", turnover.cast("long"))}))
     anchor = F.when(
         F.col("fixed").isNotNull() | ~F.col("active"),
         F.struct(F.coalesce("fixed", F.lit(0)).alias("who"), F.col("flips").alias("at")),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import language_label
 from ..functions.text import display_text, resolve_language, strip, strip_speaker_prefixes
 from ..operators.islands import ID
-from ..operators.ordered import attach
+from ..operators.ordered import attach, durable
 from ..operators.report import (
     build_context, conversation_transcript, detected_speakers, emotion_map, num_speakers, speaker_emotions, template_answer,
 )
@@ -47,12 +47,12 @@ def analyze(
     given = recs.withColumn("language", resolve_language("original", "lang"))
     given = given.withColumn("transcript", display_text("original", "translated", "language"))
     spoken = clean_transcript(given, ID, "transcript")
-    spoken = clean_transcript(spoken, ID, "original").withColumnRenamed("original", "transcript_original")
+    spoken = durable(clean_transcript(spoken, ID, "original").withColumnRenamed("original", "transcript_original"))
 
     langs = spoken.select(ID, F.col("language").alias("lang"))
-    voiced = normalize_turns(attach(turns, langs), "lang")
-    used = chosen_turns(voiced, spoken.select(ID, "transcript", "language"), cues)
-    said = turns_result(used, langs)
+    voiced = durable(normalize_turns(attach(turns, langs), "lang"))
+    used = durable(chosen_turns(voiced, spoken.select(ID, "transcript", "language"), cues))
+    said = durable(turns_result(used, langs))
     shown = used.join(said.filter("shows_turns").select(ID), ID, "left_semi")
 
     base = attach(spoken, said.select(ID, F.col("num_speakers"), F.col("transcript").alias("__t"), F.col("transcript_original").alias("__o")))
@@ -66,7 +66,7 @@ def analyze(
     ).drop("__t", "__o")
     base = attach(base, events_array(fuse_detectors(hits)))
     base = base.withColumn("events", add_speech_event("events", "transcript", "transcript_original"))
-    base = base.withColumn("sounds", event_labels("events"))
+    base = durable(base.withColumn("sounds", event_labels("events")))
 
     moods = emotion_map(speaker_emotions(shown, preds, recs.select(ID, "emotion")))
     for extra in (

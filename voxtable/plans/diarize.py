@@ -17,7 +17,7 @@ from ..operators.embeddings import label_speakers
 from ..operators.folds import drop_near_repeats, resolve_overlaps
 from ..operators.intervals import assign_phrases, assign_timed_text, prefer_given_speakers
 from ..operators.islands import ID, merge_asr_turns, merge_segments, smooth_switches, words_to_turns
-from ..operators.ordered import attach, by_position, join_text
+from ..operators.ordered import attach, by_position, durable, join_text
 from ..operators.speakers import collapse_to_single, drop_micro_segments, is_kannada, looks_like_monologue, normalize_turns
 from ..operators.transcripts import filter_script_mismatch
 from ..operators.windows import region_windows, speech_regions
@@ -32,10 +32,12 @@ def speaker_segments(
     ``vec`` to rows with ``recording_id, pos, start_sec, end_sec``.
     """
     kn = is_kannada("lang")
-    regions = speech_regions(
-        frames, recordings,
-        F.when(kn, F.lit(0.4)).otherwise(F.lit(0.3)),
-        F.when(kn, F.lit(0.45)).otherwise(F.lit(0.35)),
+    regions = durable(
+        speech_regions(
+            frames, recordings,
+            F.when(kn, F.lit(0.4)).otherwise(F.lit(0.3)),
+            F.when(kn, F.lit(0.45)).otherwise(F.lit(0.35)),
+        )
     )
     strict = recordings.select(ID, kn.alias("strict"))
     windows = region_windows(regions, recordings)
@@ -45,15 +47,15 @@ def speaker_segments(
     )
     named = attach(named, strict)
     plain = merge_segments(named.filter("not strict").drop("strict"), 0.45)
-    careful = merge_segments(drop_micro_segments(named.filter("strict").drop("strict"), 0.4), 0.6)
-    verdict = attach(careful, looks_like_monologue(careful))
+    careful = durable(merge_segments(drop_micro_segments(named.filter("strict").drop("strict"), 0.4), 0.6))
+    verdict = durable(attach(careful, looks_like_monologue(careful)))
     one = collapse_to_single(verdict.filter("monologue").drop("monologue"))
     return plain.unionByName(verdict.filter("not monologue").drop("monologue")).unionByName(one)
 
 
 def spoken_turns(segments: DataFrame, phrases: DataFrame, recordings: DataFrame) -> DataFrame:
     """Timed phrases placed on a clean speaker timeline and merged to turns."""
-    line = merge_segments(resolve_overlaps(segments), 1.0)
+    line = durable(merge_segments(durable(resolve_overlaps(durable(segments))), 1.0))
     lang = recordings.select(ID, "lang")
     people = line.groupBy(ID).agg(F.countDistinct("speaker").alias("n"))
     kind = people.join(lang, ID, "left").select(
@@ -61,7 +63,7 @@ def spoken_turns(segments: DataFrame, phrases: DataFrame, recordings: DataFrame)
         F.when(is_kannada("lang"), "kannada").when(F.col("n") >= 2, "several").otherwise("single").alias("kind"),
     )
     said = phrases.join(kind, ID).withColumn("__key", F.concat_ws(":", ID, "pos"))
-    said = filter_script_mismatch(said, "__key").filter(~shorter_than("text", 2)).drop("__key", "lang")
+    said = durable(filter_script_mismatch(said, "__key").filter(~shorter_than("text", 2)).drop("__key", "lang"))
     part = lambda k: said.filter(F.col("kind") == k).drop("kind")
     kannada, single, several = part("kannada"), part("single"), part("several")
     keep = lambda rows, kept: rows.join(kept.select(ID, "pos"), [ID, "pos"], "left_semi")
@@ -72,7 +74,7 @@ def spoken_turns(segments: DataFrame, phrases: DataFrame, recordings: DataFrame)
         ID, F.col("pos").alias("turn"), "speaker", "start_sec", "end_sec", "text", F.col("text").alias("text_original"),
         F.lit(0.0).alias("confidence"), F.lit("vad").alias("alignment"),
     )
-    return merge_asr_turns(placed.unionByName(assign_phrases(several, line)))
+    return merge_asr_turns(durable(placed.unionByName(assign_phrases(several, line))))
 
 
 def diarize(
@@ -80,7 +82,7 @@ def diarize(
 ) -> DataFrame:
     """Speaker turns per recording from energies, embeddings and timed phrases."""
     segments = speaker_segments(frames, recordings, embed, max_speakers)
-    turns = spoken_turns(segments, phrases, recordings)
+    turns = durable(spoken_turns(segments, phrases, recordings))
     return normalize_turns(attach(turns, recordings.select(ID, "lang")), "lang")
 
 
@@ -89,8 +91,8 @@ def align_words(words: DataFrame, segments: DataFrame, min_conf: float = 0.35) -
 
     Recordings that end with fewer than two speakers give no turns.
     """
-    named = prefer_given_speakers(words, segments, min_conf)
-    turns = words_to_turns(smooth_switches(named)).withColumn("alignment", F.lit("whisperx"))
+    named = durable(prefer_given_speakers(words, segments, min_conf))
+    turns = durable(words_to_turns(durable(smooth_switches(named)))).withColumn("alignment", F.lit("whisperx"))
     people = turns.groupBy(ID).agg(F.countDistinct("speaker").alias("n")).filter("n >= 2")
     plain = join_text(words, by_position(), {"transcript": (F.col("word"), " ")})
     rounded = turns.withColumns(
