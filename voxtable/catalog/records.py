@@ -264,8 +264,8 @@ register("cap_duration", lambda t: _samples(t, sg.cap_duration("samples", "sampl
 register("slice_span", lambda t: _samples(t, sg.slice_span("samples", "sample_rate", F.lit(0.05), F.lit(0.3))), _S.format(s="list_transform(samples[11:60], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
 register(
     "skip_silent",
-    lambda t: windows.skip_silent(t.waveforms(), 0.2).select(ID),
-    "SELECT recording_id FROM waveforms WHERE sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x::DOUBLE)) / len(samples) + 1e-12) >= 0.2", "waveforms",
+    lambda t: windows.skip_silent(t.waveforms(), 0.12).select(ID),
+    "SELECT recording_id FROM waveforms WHERE sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x::DOUBLE)) / len(samples) + 1e-12) >= 0.12", "waveforms",
 )
 
 # --- collapse rules
@@ -310,7 +310,7 @@ _FLAG = {k: f"regexp_matches(text, '{p}')" for k, p in CUES.items()}
 register(
     "dialogue_speakers",
     lambda t: speakers.dialogue_speakers(_sentences(t), CUES, chunk_rows=16, merge=False).select(ID, "turn", "speaker", "text"),
-    "SELECT recording_id, turn, 'Speaker ' || (who + 1) AS speaker, text FROM (SELECT *, max(who) OVER (PARTITION BY recording_id) <> min(who) OVER (PARTITION BY recording_id) AS both FROM f) WHERE both",
+    "SELECT recording_id, turn, 'Speaker ' || (who + 1) AS speaker, text FROM (SELECT *, max(who) OVER (PARTITION BY recording_id) <> min(who) OVER (PARTITION BY recording_id) AS two_voices FROM f) WHERE two_voices",
     "turns", recursive=True,
     also="s0 AS (SELECT recording_id, string_agg(text, ' ' ORDER BY turn) AS text FROM turns GROUP BY recording_id), s1 AS (SELECT recording_id, unnest(range(len(p))) AS pos, unnest(p) AS text FROM (SELECT recording_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
     "lambda x: trim(x, ' ,')), lambda x: x <> '') AS p FROM s0)), s2 AS (SELECT recording_id, pos, CASE WHEN regexp_matches(text, '[.!?]$') THEN text ELSE text || '.' END AS text FROM s1), fl AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _FLAG.items()) + " FROM s2), "

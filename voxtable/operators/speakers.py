@@ -213,7 +213,7 @@ def dialogue_speakers(
     )
     per_rec = per_rec.filter("strong and last_pos > first_pos").select(
         ID, "first_pos",
-        F.coalesce(F.least(F.col("begin.pos") + F.col("begin.shift"), F.col("last_pos")), F.col("first_pos")).alias("from_pos"),
+        F.least(F.coalesce(F.col("begin.pos") + F.col("begin.shift"), F.col("first_pos")), F.col("last_pos")).alias("from_pos"),
     )
     said = durable(flags.join(per_rec, ID))
     inside = F.col("pos") >= F.col("from_pos")
