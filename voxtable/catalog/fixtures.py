@@ -34,7 +34,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _events(self) -> DataFrame:
-        hours = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_US)) / F.lit(3.6e9)
+        micros = lambda c: F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
+        hours = (micros(F.col("ts")) - micros(F.lit("2024-01-01"))) / F.lit(3.6e9)
         return self.read("events").withColumn("t", hours)
 
     def segments(self) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.ordered import attach
 from ..plans import analyze as an, diarize as di
 from ..sources import log as lg
 from ..streaming import windows as st
-from .fixtures import EPOCH_US, Tables
+from .fixtures import Tables
 from .registry import register
 
 ID = "recording_id"
@@ -37,7 +37,7 @@ register("find_user", lambda t: log.find_user(t.users(), " CUSTOMER#000000042@ma
 def _worker_lines(t: Tables):
     """Events as log lines: stages, noise and messages."""
     line = (
-        F.when(F.col("event_type") == "view", F.concat(F.lit("[alm-worker] stage "), "props"))
+        F.when(F.col("event_type") == "view", F.concat(F.lit("[worker] stage "), "props"))
         .when(F.col("event_type") == "signup", F.lit("You are sending unauthenticated requests to the HF Hub"))
         .otherwise(F.concat(F.lit(" "), F.col("event_type"), F.lit(" "), F.col("props")))
     )
@@ -47,7 +47,7 @@ def _worker_lines(t: Tables):
 register(
     "triage_worker_log",
     lambda t: log.triage_worker_log(_worker_lines(t)),
-    "SELECT run, trim(concat_ws(' ', 'Last stage: ' || replace(stage, '[alm-worker] ', '') || '.', nullif(substring(body, 1, 280), ''))) AS message FROM (SELECT user_id AS run, arg_max(CASE WHEN event_type = 'view' THEN '[alm-worker] stage ' || props END, "
+    "SELECT run, trim(concat_ws(' ', 'Last stage: ' || replace(stage, '[worker] ', '') || '.', nullif(substring(body, 1, 280), ''))) AS message FROM (SELECT user_id AS run, arg_max(CASE WHEN event_type = 'view' THEN '[worker] stage ' || props END, "
     "CASE WHEN event_type = 'view' THEN event_id END) AS stage, string_agg(CASE WHEN event_type NOT IN ('view', 'signup') THEN event_type || ' ' || props END, ' ' ORDER BY event_id) AS body FROM events WHERE event_type <> 'signup' GROUP BY user_id)",
 )
 

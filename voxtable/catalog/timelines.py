@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import midpoint, overlap_sec
 from ..operators import folds, intervals, islands, speakers, windows
-from ..operators.ordered import attach, by_time, carry
+from ..operators.ordered import by_time, carry
 from .fixtures import Tables
 from .registry import register
 

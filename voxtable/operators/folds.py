@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.text import squash_space, token_jaccard, token_overlap, word_overlap_suffix
-from .islands import ID
 from .ordered import CHUNK_ROWS, CHUNK_SEC, by_position, by_time, fold
 
 SEGMENT = "struct<pos:bigint,speaker:string,start_sec:double,end_sec:double>"

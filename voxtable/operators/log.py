@@ -50,10 +50,10 @@ def find_user(users: DataFrame, email: str | Column) -> DataFrame:
     return users.filter(F.lower("email") == wanted)
 
 
-def triage_worker_log(lines: DataFrame, key: str = "run", longest: int = 280) -> DataFrame:
+def triage_worker_log(lines: DataFrame, key: str = "run", longest: int = 280, mark: str = "[worker]") -> DataFrame:
     """One message per worker run: its last stage, then the other lines that are not noise, cut.
 
-    ``lines`` has the run key, ``pos`` and ``line``.  Only lines that can still fall
+    ``lines`` has the run key, ``pos`` and ``line``; ``mark`` opens a stage line.  Only lines that can still fall
     within the cut are brought together: lengths are summed up first.
     """
     from .ordered import by_position, carry, join_text
@@ -62,13 +62,13 @@ def triage_worker_log(lines: DataFrame, key: str = "run", longest: int = 280) ->
     low = F.lower(text)
     noise = low.contains("unauthenticated requests to the hf hub") | (low.contains("hf_token") & low.contains("rate limit"))
     told = lines.select(key, "pos", text.alias("line")).filter((F.col("line") != "") & ~noise)
-    is_stage = F.col("line").startswith("[alm-worker]")
+    is_stage = F.col("line").startswith(mark)
     stage = told.groupBy(key).agg(F.max_by("line", F.when(is_stage, F.col("pos"))).alias("stage"))
     tl = by_position(key=(key,))
     body = carry(told.filter(~is_stage), tl, {"before": ("sum_before", F.length("line") + 1)})
     body = body.filter(F.coalesce("before", F.lit(0)) < longest)
     body = join_text(body, tl, {"body": (F.substring("line", 1, longest), " ")})
-    tip = F.concat(F.lit("Last stage: "), F.replace("stage", F.lit("[alm-worker] "), F.lit("")), F.lit("."))
+    tip = F.concat(F.lit("Last stage: "), F.replace("stage", F.lit(mark + " "), F.lit("")), F.lit("."))
     out = stage.join(body, key, "left")
     message = F.concat_ws(" ", tip, F.nullif(F.substring("body", 1, longest), F.lit("")))
     return out.select(key, strip(message).alias("message"))
