@@ -391,8 +391,24 @@ def _run(df, folder):
     return df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
 
 
-register("stream_windows", lambda t: _stream(t, "windows", lambda f, d: _run(st.stream_windows(f, "2 hours", "1 hour", "3 hours"), d)).select(ID, "win_start", "n_frames", "peak"))
-register("stream_speech_sessions", lambda t: _stream(t, "sessions", lambda f, d: _run(st.stream_speech_sessions(f, 0.1, "5 hours", "10 hours"), d)))
+# a window or session comes out once the watermark, the newest time less the delay, has passed its end
+register(
+    "stream_windows",
+    lambda t: _stream(t, "windows", lambda f, d: _run(st.stream_windows(f, "2 hours", "1 hour", "3 hours"), d)).select(
+        ID, F.unix_seconds("win_start").alias("win_start"), "n_frames", "peak"),
+    "SELECT recording_id, win_start, count(*) AS n_frames, max(rms) AS peak FROM (SELECT user_id AS recording_id, value / 500 AS rms, (epoch_us(ts) // 3600000000 - unnest([0, 1])) * 3600 AS win_start FROM events) "
+    "WHERE win_start + 7200 <= (SELECT epoch_us(max(ts)) / 1e6 - 10800 FROM events) GROUP BY ALL",
+    decimals="peak",
+)
+register(
+    "stream_speech_sessions",
+    lambda t: _stream(t, "sessions", lambda f, d: _run(st.stream_speech_sessions(f, 0.1, "5 hours", "10 hours"), d)).withColumns(
+        {"from_ts": F.unix_micros("from_ts"), "to_ts": F.unix_micros("to_ts")}),
+    "SELECT recording_id, min(u) AS from_ts, max(u) + 18000000000 AS to_ts, count(*) AS n_frames, max(rms) AS peak FROM (SELECT *, sum(chg) OVER (PARTITION BY recording_id ORDER BY u) AS s FROM ("
+    "SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY recording_id ORDER BY u) <= 18000000000 THEN 0 ELSE 1 END AS chg FROM (SELECT user_id AS recording_id, epoch_us(ts) AS u, value / 500 AS rms FROM events WHERE value / 500 >= 0.1))) "
+    "GROUP BY recording_id, s HAVING max(u) + 18000000000 <= (SELECT max(epoch_us(ts)) - 36000000000 FROM events WHERE TRUE)",
+    decimals="peak",
+)
 register(
     "stream_log",
     lambda t: _stream(t, "log", lambda f, d: st.stream_log(f.unionByName(f).select("id", ID, "created_at"), f"{d}/out", f"{d}/state", available_now=True)).select("id", ID),
