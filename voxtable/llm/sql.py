@@ -30,7 +30,7 @@ close AS (
   SELECT * FROM pairs WHERE len(list_filter(range(1, b_n + 1), lambda i:
     substr(b, 1, i - 1) || substr(b, i + 1) = CASE WHEN a_n = b_n THEN substr(a, 1, i - 1) || substr(a, i + 1) ELSE a END)) > 0),
 near AS (
-  SELECT line, min(other) AS other FROM (SELECT a AS line, a_place AS place, b_at AS other FROM close UNION ALL SELECT b, b_place, a_place FROM close)
+  SELECT line, min(other) AS other FROM (SELECT a AS line, a_place AS place, b_place AS other FROM close UNION ALL SELECT b, b_place, a_place FROM close)
   WHERE other < place GROUP BY line),
 judged AS (
   SELECT o.doc_id, o.line_no, {'d': o.doc_id, 'n': o.line_no} <> f.place AS copy, x.line IS NOT NULL AS near
