@@ -201,7 +201,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     by_doc = written(wanted, "wanted").groupBy(F.col("doc_id").alias("__doc")).agg(
         F.collect_set(F.struct("line_no", "h1", "h2", "same", "longer", "shorter", F.struct("doc_id", "line_no").alias("at"))).alias("of")
     )
-    full = texts(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    # always by shuffle: a switch to broadcasting a small side would hide what larger inputs move
+    full = texts(docs).join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")))
     full = full.select(F.split("text", "\n").alias("all"), F.explode("of").alias("x")).select("x.*", F.get("all", "x.line_no").alias("line"))
     full = written(full.mapInArrow(_matching, full.schema).dropDuplicates(["h1", "h2"]), "lines")
 
