@@ -158,10 +158,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = found.join(best, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
     wanted = found.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(plain.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, found binary"), "sets")
+    # texts and sets always by shuffle: a switch to broadcasting a small side would hide what larger inputs move
+    sets = written(plain.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "node long, found binary"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"))
-    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    links = written(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
     label = components(links)
 
     placed = found.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_ = placed.join(once, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", "node", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    more = open_.join(sets, "node").groupBy("key", "one", "two").applyInPandas(_within(percent), "a long, b long")
+    more = open_.join(sets.hint("merge"), "node").groupBy("key", "one", "two").applyInPandas(_within(percent), "a long, b long")
     more = written(more, "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
