@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Sequence
+from itertools import islice
 
 #: Pieces remembered by one worker, and the longest one remembered; what is longer or forgotten is encoded again.
-KEPT_PIECES, KEPT_CHARS = 1 << 19, 48
+KEPT_PIECES, KEPT_CHARS = 1 << 20, 48
+#: Marks a cut; texts that hold it are cut in another way.
+CUT = "\x1f"
+#: White space beside other white space, at an end, or of another kind; a space or line end in such a text isn't always a cut.
+_ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", CUT)
+_ODD_WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 _made: dict[tuple[str, str], Encoder] = {}
 
 
@@ -15,8 +23,8 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
     Texts are cut only where the tokenizer itself always starts a new token, so that the pieces' ids joined are the
-    text's ids. ``words``: the tokenizer drops white space, and a piece lies between spaces or line ends. ``spaces``:
-    a token may begin with one space, and a piece starts at a space that has no other white space beside it.
+    text's ids. ``words``: the tokenizer drops white space and lower-cases; a piece lies between spaces and line ends. ``spaces``: a token may begin with one space; a piece starts at a space, and at and after a line end,
+    where no other white space is beside it.
     """
 
     def __init__(self, path: str, cut: str):
@@ -25,39 +33,57 @@ class Encoder:
 
         if cut not in ("words", "spaces"):
             raise ValueError(f"unknown cut {cut}")
-        self.tokenizer, self.cut, self.ids = Tokenizer.from_file(path), cut, {}
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.pieces = _words if cut == "words" else _spaces
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cuts = [self._pieces(t) for t in texts]
+        cuts = [self.pieces(t) for t in texts]
         wanted = set().union(*cuts)
-        ids, missing = self.ids, [p for p in wanted if p not in self.ids]
-        new = self._direct(missing)
-        if len(ids) + len(missing) > KEPT_PIECES:
-            extra = dict(new)
-            extra.update((p, ids[p]) for p in wanted if p in ids)
-            self.ids = {p: v for p, v in list(extra.items())[: KEPT_PIECES // 2] if len(p) <= KEPT_CHARS}
-        else:
-            extra = ids
-            ids.update(new)
-        out = [b"".join(map(extra.__getitem__, cut)) for cut in cuts]
+        missing = list(wanted.difference(self.ids))
+        if len(self.ids) + len(missing) > KEPT_PIECES:  # the older half, in which frequent pieces are, stays
+            self.ids = dict(islice(self.ids.items(), KEPT_PIECES // 2))
+            missing = list(wanted.difference(self.ids))
+        self.ids.update(self._direct(missing))
+        out = [b"".join(map(self.ids.__getitem__, cut)) for cut in cuts]
         for p in missing:
             if len(p) > KEPT_CHARS:
-                ids.pop(p, None)
+                del self.ids[p]
         return out
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.cut == "words":
-            parts = text.replace("\n", " ").split(" ")
-            return parts
-        odd = re.search(r"\s\s| \Z|\A ", text)
-        parts = re.split(r"(?<=\S) (?=\S)", text) if odd else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
-
     def _direct(self, pieces: list[str]) -> dict[str, bytes]:
-        import numpy as np
+        """Ids of pieces that aren't remembered; a word with one stop after it is the word's ids and the stop's."""
+        stopped = {p: p[:-1] for p in pieces if p[-1:] in (".", ",") and _letters(p[:-1])}
+        bases = set(stopped.values())
+        direct = [p for p in pieces if p not in stopped and p not in bases] + [p for p in bases if p not in self.ids] + [".", ","]
+        found = self.tokenizer.encode_batch_fast(direct, add_special_tokens=False)
+        ids = {p: array("I", x.ids).tobytes() for p, x in zip(direct, found, strict=True)}
+        ids.update((p, self.ids[p]) for p in bases if p in self.ids)
+        ids.update([(p, ids[base] + ids[p[-1]]) for p, base in stopped.items()])
+        return ids
+
+
+def _plain(text: str) -> bool:
+    """Whether composing leaves the text as it is and no letter becomes a letter and a mark in lower case."""
+    return text.isascii() or (unicodedata.is_normalized("NFC", text) and "\u0130" not in text)
+
 
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(x.ids, "<u4").tobytes() for p, x in zip(pieces, found, strict=True)}
+def _letters(piece: str) -> bool:
+    return piece[piece[:1] == " " :].isalpha() and _plain(piece)
+
+
+def _words(text: str) -> list[str]:
+    # lower case is the tokenizer's own next step; where composing or a letter's place may matter, it is left to it
+    if _plain(text) and "\u03a3" not in text:
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
+
+
+def _spaces(text: str) -> list[str]:
+    odd = text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD)
+    if odd or not text.isascii() and any(x in text for x in _ODD_WIDE):
+        parts = re.split(r"(?<=\S) (?=\S)", text)
+        return parts[:1] + [" " + p for p in parts[1:]]
+    return text.replace("\n", f"{CUT}\n{CUT}").replace(" ", CUT + " ").split(CUT)
 
 
 def encoder(path: str, cut: str) -> Encoder:
