@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         label = components(links.unionByName(more))
 
     reached = classes.join(label, "node", "left").select(*same, F.coalesce("component", "node").alias("reached"))
-    out = table.drop("keys").join(reached, same, "left").withColumn("component_id", F.coalesce("reached", "doc_id"))
+    out = table.drop("keys").join(reached, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("reached", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
