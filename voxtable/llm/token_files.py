@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, cu
         own, index, at, total = f"{path}.{task.taskAttemptId()}", [], 16, 0
         with open(own, "wb") as f:
             f.write(MAGIC + digest(words))
-            for docs_, some in groups_of(batches, ["doc_id", "text"], 1 << 19):
+            for docs_, some in groups_of(batches, ["doc_id", "text"], 1 << 20):
                 for doc, data in zip(docs_, encoder(tokenizer, cut).encode(some), strict=True):
                     data += end.to_bytes(4, "little")
                     frame = zstd.compress(serialized(data))

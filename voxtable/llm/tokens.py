@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from itertools import islice
 
 #: Pieces remembered by one worker, and the longest one remembered; what is longer or forgotten is encoded again.
-KEPT_PIECES, KEPT_CHARS = 1 << 20, 48
+KEPT_PIECES, KEPT_CHARS = 3 << 19, 48
 #: Marks a cut; texts that hold it are cut in another way.
 CUT = "\x1f"
 #: White space beside other white space, at an end, or of another kind; a space or line end in such a text isn't always a cut.
