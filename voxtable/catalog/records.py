@@ -189,6 +189,8 @@ def _scratch(t: Tables, name: str) -> str:
     base = t.spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base}/{name}-{os.urandom(6).hex()}"
+    if t.spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"voxtable-{name}-") + "/data"
 
 

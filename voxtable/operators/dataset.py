@@ -71,9 +71,11 @@ def train_classifier(
 def read_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows whose file exists; a target's category is the last one the manifest gives it.
 
-    ``manifest`` has ``filename, target, category, fold`` and ``files`` a ``path`` column.
+    ``manifest`` has ``filename, target, category, fold`` and ``files`` a ``path`` column; of several paths with one file
+    name the first in alphabetical order counts.
     """
-    known = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path").dropDuplicates(["filename"])
+    known = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path")
+    known = known.groupBy("filename").agg(F.min("path").alias("path"))
     rows = manifest.select(
         "filename", F.col("target").cast("int").alias("target"),
         F.coalesce("category", F.col("target").cast("string")).alias("category"), F.coalesce(F.col("fold").cast("int"), F.lit(0)).alias("fold"),

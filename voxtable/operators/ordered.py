@@ -12,7 +12,7 @@ through a table with one row per chunk:
 * :func:`runs`     gaps and islands whose break looks at the previous row
 * :func:`spans`    union of intervals with a gap tolerance
 * :func:`fold`     state machines that depend on the last *kept* row
-* :func:`join_text`, :func:`collect_rows`  ordered concatenation in two levels
+* :func:`join_text`  ordered concatenation in two levels
 
 Only the chunk table is ever windowed by the bare key.
 """
@@ -96,7 +96,10 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder; in local mode, where one machine does all, a temporary one will do."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured or tempfile.mkdtemp(prefix="voxtable-checkpoint-")
 
 
@@ -326,21 +329,6 @@ def fold(
     return done.select(*tl.key, "__item.*")
 
 
-def collect_rows(df: DataFrame, tl: Timeline, columns: Sequence[Column], out: str) -> DataFrame:
-    """One row per key with its rows as an ordered array, gathered chunk by chunk."""
-    tagged = tl.tag(df)
-    chunked = tagged.groupBy(*tl.ids).agg(
-        F.array_sort(
-            F.collect_list(F.struct(tl.sort_key.alias("k"), F.struct(*columns).alias("v")))
-        ).alias("__part")
-    )
-    whole = chunked.groupBy(*tl.key).agg(
-        F.array_sort(F.collect_list(F.struct(CHUNK, "__part"))).alias("__parts")
-    )
-    flat = F.flatten(F.transform("__parts", lambda p: F.transform(p["__part"], lambda x: x["v"])))
-    return whole.select(*tl.key, flat.alias(out))
-
-
 def join_text(
     df: DataFrame, tl: Timeline, texts: dict[str, tuple[Column, str]], extra: Sequence[Column] = ()
 ) -> DataFrame:

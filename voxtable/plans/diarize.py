@@ -17,7 +17,7 @@ from ..operators.embeddings import label_speakers
 from ..operators.folds import drop_near_repeats, resolve_overlaps
 from ..operators.intervals import assign_phrases, assign_timed_text, prefer_given_speakers
 from ..operators.islands import ID, merge_asr_turns, merge_segments, smooth_switches, words_to_turns
-from ..operators.ordered import attach, by_position, durable, join_text
+from ..operators.ordered import Timeline, attach, by_position, durable, join_text, number
 from ..operators.speakers import collapse_to_single, drop_micro_segments, is_kannada, looks_like_monologue, normalize_turns
 from ..operators.transcripts import filter_script_mismatch
 from ..operators.windows import region_windows, speech_regions
@@ -41,7 +41,8 @@ def speaker_segments(
     )
     strict = recordings.select(ID, kn.alias("strict"))
     windows = region_windows(regions, recordings)
-    windows = windows.select(ID, (F.col("region") * 100000 + F.col("nth")).alias("pos"), "start_sec", "end_sec")
+    in_turn = Timeline(("region", "nth"), F.floor(F.col("region") / F.lit(64)))
+    windows = number(windows, in_turn, "pos").select(ID, "pos", "start_sec", "end_sec")
     named = label_speakers(
         attach(embed(regions), strict), attach(embed(windows), strict), max_speakers, threshold, F.col("strict")
     )
