@@ -53,25 +53,33 @@ register(
 
 
 def _answers(t: Tables):
-    c = t.read("conversations")
-    return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.concat(F.lit("clip"), F.col("conv_id").cast("string")).alias("filename"), F.col("role").alias("question"),
-        F.when(F.col("turn") % 2 == 0, F.col("text")).alias("transcript"), F.when(F.col("turn") % 3 > 0, F.array("role", F.lit("dog \"barking\""))).alias("sounds"),
+    """One answer for each turn; beside every second one, the answer to a clip without a transcript."""
+    c = t.read("conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn")).withColumn("transcript", F.col("text"))
+    silent = c.filter(F.col("turn") % 2 == 1).withColumns({"id": -1 - F.col("id"), "transcript": F.lit(None).cast("string")})
+    return c.unionByName(silent).select(
+        "id", F.concat(F.lit("clip"), F.col("conv_id").cast("string")).alias("filename"), F.col("role").alias("question"),
+        "transcript", F.when(F.col("turn") % 3 > 0, F.array("role", F.lit("dog \"barking\""))).alias("sounds"),
         F.when(F.col("turn") % 3 == 1, F.lit("calm")).alias("emotion"), F.col("role").alias("answer"), F.timestamp_seconds(F.col("conv_id") * 3600).alias("created_at"),
         F.octet_length("text").cast("double").alias("duration"), F.lit("audio/wav").alias("mime"), F.encode("role", "UTF-8").alias("payload"),
     )
 
 
+_ANSWERS = (
+    "an AS (SELECT *, conv_id * 100 + turn AS id, text AS transcript FROM conversations UNION ALL "
+    "SELECT *, -1 - (conv_id * 100 + turn), NULL FROM conversations WHERE turn % 2 = 1)"
+)
 register(
     "append_analysis",
     lambda t: lg.analysis_rows(_answers(t)).withColumn("created_at", F.unix_seconds("created_at")),
-    "SELECT conv_id * 100 + turn AS id, 'clip' || conv_id AS filename, role AS question, CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS transcript, CASE WHEN turn % 3 > 0 THEN '[\"' || role || '\",\"dog \\\"barking\\\"\"]' ELSE '[]' END AS sounds_json, "
-    "CASE WHEN turn % 3 = 1 THEN 'calm' ELSE '' END AS emotion, role AS answer, conv_id * 3600 AS created_at FROM conversations",
+    "SELECT id, 'clip' || conv_id AS filename, role AS question, coalesce(transcript, '') AS transcript, CASE WHEN turn % 3 > 0 THEN '[\"' || role || '\",\"dog \\\"barking\\\"\"]' ELSE '[]' END AS sounds_json, "
+    "CASE WHEN turn % 3 = 1 THEN 'calm' ELSE '' END AS emotion, role AS answer, conv_id * 3600 AS created_at FROM an",
+    also=_ANSWERS,
 )
 register(
     "append_inference",
     lambda t: lg.inference_rows(_answers(t)).withColumns({"created_at": F.unix_seconds("created_at"), "payload": F.hex("payload")}),
-    "SELECT conv_id * 100 + turn AS id, 'clip' || conv_id AS filename, octet_length(encode(text))::DOUBLE AS duration, 'audio/wav' AS mime, hex(encode(role)) AS payload, role AS question, role AS answer, conv_id * 3600 AS created_at FROM conversations",
+    "SELECT id, 'clip' || conv_id AS filename, octet_length(encode(text))::DOUBLE AS duration, 'audio/wav' AS mime, hex(encode(role)) AS payload, role AS question, role AS answer, conv_id * 3600 AS created_at FROM an",
+    also=_ANSWERS,
 )
 
 
@@ -106,17 +114,16 @@ register("class_names", lambda t: dataset.class_names(t.manifest()).select(F.arr
 
 def _emotion_files(t: Tables):
     k = F.col("s_suppkey")
-    pad = lambda c: F.lpad(c.cast("string"), 2, F.lit("0"))
+    pad = lambda c: F.format_string("%02d", c)
     return t.read("supplier").select(F.concat(F.lit("/set/"), F.when(k % 7 == 0, F.lit("02")).otherwise(F.lit("03")), F.lit("-01-"), F.when(k % 11 == 0, F.lit("xx")).otherwise(pad(k % 10)), F.lit("-"), pad(k), F.when(k % 13 == 0, F.lit(".txt")).otherwise(F.lit(".wav"))).alias("path"))
 
 
 register(
     "label_from_filename",
     lambda t: dataset.label_from_filename(_emotion_files(t)),
-    "SELECT '/set/03-01-' || lpad((s_suppkey % 10)::VARCHAR, 2, '0') || '-' || lpad(s_suppkey::VARCHAR, 2, '0') || '.wav' AS path, s_suppkey % 10 - 1 AS label FROM supplier "
+    "SELECT printf('/set/03-01-%02d-%02d.wav', s_suppkey % 10, s_suppkey) AS path, s_suppkey % 10 - 1 AS label FROM supplier "
     "WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0 AND s_suppkey % 10 BETWEEN 1 AND 8",
 )
-# lpad cuts keys above two digits on both sides alike
 register("label_ids", lambda t: dataset.label_ids(t.read("part"), "p_name").select("p_partkey", "label_id"), "SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS label_id FROM part")
 register("class_count", lambda t: dataset.class_count(t.read("part"), "p_type"), "SELECT count(DISTINCT p_type) AS n_classes FROM part")
 register(
@@ -340,11 +347,14 @@ def _event_lang(t: Tables):
 
 
 def _embed(t: Tables):
-    """Stands for the user's model: the embedding whose number follows from recording and position."""
-    vectors = t.embeddings().select((F.col(ID) * 20 + F.col("pos")).alias("__v"), "vec")
+    """Stands for the user's model: one of all embeddings, drawn by a hash of recording and position."""
+    ids = t.read("embeddings")
+    vectors = ids.select(F.col("vec_id").alias("__v"), F.col("embedding").alias("vec"))
+    lowest = ids.agg(F.min("vec_id")).scalar()
+    span = ids.agg(F.max("vec_id") - F.min("vec_id") + 1).scalar()
 
     def embed(spans):
-        keyed = spans.withColumn("__v", (F.col(ID) * 7 + F.col("pos")) % 50)
+        keyed = spans.withColumn("__v", lowest + F.pmod(F.xxhash64(ID, "pos"), span))
         return keyed.join(vectors, "__v").drop("__v")
 
     return embed
@@ -368,7 +378,7 @@ def _to_analyze(t: Tables):
         ID, F.col("transcript_original").alias("original"), F.lit(None).cast("string").alias("translated"), F.lit("auto").alias("lang"),
         F.when(F.col(ID) % 2 == 0, "calm").otherwise("").alias("emotion"),
     )
-    voiced = t.turns().drop("role").filter(F.col(ID) % 4 > 0)
+    voiced = t.turns().drop("role")
     preds = t.turns().select(ID, "turn", F.when(F.col("turn") % 2 == 0, "happy").otherwise("sad").alias("emotion"))
     return an.analyze(recs, voiced, t.hits(), preds)
 

@@ -62,24 +62,26 @@ register(
 
 
 def _records(t: Tables):
-    """One record per conversation; sounds come from the user of the same number."""
+    """One record per conversation, sounds from the user of the same number; beside every fourth, one without speech."""
     texts = report.plain_transcript(t.turns())
     recs = attach(texts, sounds.events_array(sounds.fuse_detectors(t.hits())))
     n = F.col(ID) % 4
-    return recs.withColumns({
-        "transcript": F.when(n == 3, F.lit("")).otherwise(F.col("transcript")),
-        "transcript_original": F.when(n == 3, F.lit("")).otherwise(F.concat(F.lit("o "), "transcript_original")),
+    recs = recs.withColumns({
+        "transcript_original": F.concat(F.lit("o "), "transcript_original"),
         "emotion": F.element_at(F.array(F.lit("happy"), F.lit(""), F.lit("neutral"), F.lit("sad")), (n + 1).cast("int")),
         "language": F.when(n == 1, F.lit("fr")).otherwise(F.lit("en")),
         "languages": F.array(F.when(n == 1, F.lit("fr")).otherwise(F.lit("en"))),
     })
+    silent = recs.filter(n == 3).withColumns({ID: -1 - F.col(ID), "transcript": F.lit(""), "transcript_original": F.lit("")})
+    return recs.unionByName(silent)
 
 
 _ST = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _RECS = _KEYED + f", fused AS ({_FUSED}), ev AS (SELECT recording_id, list(label ORDER BY rank) AS labels, string_agg(label || printf(' (%.2f)', score + 1e-9), ', ' ORDER BY rank) AS scored FROM fused GROUP BY recording_id), " + (
-    f"recs AS (SELECT t.recording_id, CASE WHEN t.recording_id % 4 = 3 THEN '' ELSE p END AS transcript, CASE WHEN t.recording_id % 4 = 3 THEN '' ELSE 'o ' || p END AS transcript_original, ['happy', '', 'neutral', 'sad'][t.recording_id % 4 + 1] AS emotion, "
+    f"rec0 AS (SELECT t.recording_id, p AS transcript, 'o ' || p AS transcript_original, ['happy', '', 'neutral', 'sad'][t.recording_id % 4 + 1] AS emotion, "
     f"CASE WHEN t.recording_id % 4 = 1 THEN 'fr' ELSE 'en' END AS language, labels, scored, lines, n FROM (SELECT recording_id, string_agg({_ST.format('text')}, ' ' ORDER BY turn) AS p, string_agg(speaker || ': ' || {_ST.format('text')}, E'\\n' ORDER BY turn) AS lines, "
-    f"count(DISTINCT speaker) AS n FROM turns WHERE {_ST.format('text')} <> '' GROUP BY recording_id) t LEFT JOIN ev USING (recording_id))"
+    f"count(DISTINCT speaker) AS n FROM turns WHERE {_ST.format('text')} <> '' GROUP BY recording_id) t LEFT JOIN ev USING (recording_id)), "
+    "recs AS (SELECT * FROM rec0 UNION ALL SELECT * REPLACE (-1 - recording_id AS recording_id, '' AS transcript, '' AS transcript_original, NULL AS lines, NULL AS n) FROM rec0 WHERE recording_id % 4 = 3)"
 )
 _MEANS = "(length({0}) >= 3 AND (regexp_matches({0}, '[A-Za-z\\x{{0900}}-\\x{{0D7F}}]{{2}}') OR length({0}) >= 4))"
 register(

@@ -9,7 +9,7 @@ from ..operators import transcripts
 from ..operators.ordered import Timeline, carry, spread
 from ..sources import files as fl
 from .fixtures import Tables
-from .registry import register
+from .registry import CATALOG, register
 
 ID = "recording_id"
 _COUNTS = ", ".join(f"len(regexp_extract_all(text, '{rng}')) AS {code}_n" for code, rng in tx.SCRIPTS.items())
@@ -61,15 +61,16 @@ register("collapse_phrase_repeats", lambda t: spread(t.transcripts(), ID).select
 
 
 def _copied(t: Tables):
-    """The start of each transcript copied three times and followed by the rest, or copied five times."""
+    """Each whole transcript behind three copies of its start; beside every second one, five copies of its start and no more."""
     head = F.concat(F.substring("text", 1, 30), F.lit(" "))
-    whole = F.col(ID) % 2 == 0
-    text = F.when(whole, F.repeat(head, 5)).otherwise(F.concat(F.repeat(head, 3), "text"))
-    return t.transcripts().withColumn("text", tx.squash_space(text))
+    led = t.transcripts().withColumn("text", F.concat(F.repeat(head, 3), "text"))
+    loops = t.transcripts().filter(F.col(ID) % 2 == 0).withColumns({ID: -1 - F.col(ID), "text": F.repeat(head, 5)})
+    return led.unionByName(loops).withColumn("text", tx.squash_space("text"))
 
 
 _COPIED = (
-    f"cp AS (SELECT recording_id, {_SQUASH.format('x')} AS t FROM (SELECT recording_id, CASE WHEN recording_id % 2 = 0 THEN repeat(h, 5) ELSE repeat(h, 3) || text END AS x FROM (SELECT *, substring(text, 1, 30) || ' ' AS h FROM transcripts)))"
+    f"cp AS (SELECT recording_id, {_SQUASH.format('x')} AS t FROM (SELECT recording_id, repeat(h, 3) || text AS x FROM (SELECT *, substring(text, 1, 30) || ' ' AS h FROM transcripts) "
+    "UNION ALL SELECT -1 - recording_id, repeat(substring(text, 1, 30) || ' ', 5) FROM transcripts WHERE recording_id % 2 = 0))"
 )
 _BLOCK = "trim(substring(t, {k} * z + 1, z))"
 _WHOLE = "(n % z = 0 AND t = repeat(substring(t, 1, z), (n // z)::INT))"
@@ -135,14 +136,15 @@ register(
 
 def _prefixed(t: Tables):
     """Conversations as text with a speaker prefix on every line."""
-    lines = F.concat(F.lit("Speaker "), (F.col("turn") % 2 + 1).cast("string"), F.lit(": "), F.split("text", "\n")[0])
+    prefix = F.concat(F.lit("Speaker "), (F.col("turn") % 2 + 1).cast("string"), F.lit(": "))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda s: F.concat(prefix, s)), "\n")
     return t.turns().groupBy(ID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", lines.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
 register(
     "strip_speaker_prefixes",
     lambda t: _prefixed(t).select(ID, tx.strip_speaker_prefixes("text").alias("result")),
-    f"SELECT recording_id, array_to_string(list_filter(list_transform(list(string_split(text, E'\\n')[1] ORDER BY turn), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), ' ') AS result FROM turns GROUP BY recording_id",
+    f"SELECT recording_id, array_to_string(list_filter(list_transform(flatten(list(string_split(text, E'\\n') ORDER BY turn)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), ' ') AS result FROM turns GROUP BY recording_id",
     "turns",
 )
 _MIN = "lpad((floor(s / 60)::BIGINT)::VARCHAR, 2, '0') || ':' || printf('%06.3f', s - floor(s / 60) * 60)"
@@ -188,9 +190,19 @@ register(
 )
 
 CUES = {"addresses_a": r"(?i)\bthe\b", "addresses_b": r"(?i)\band\b", "self_a": r"^In ", "self_b": r"^An ", "greeting": r"(?i)\bhe\b", "start": r"(?i)\ber\b", "follow_up": r"^[A-Za-z]+\.$"}
+
+
+def _cue_flag(pattern: str) -> str:
+    """The cue in SQL, whose own word edges know ASCII letters only."""
+    edged = pattern.replace(r"(?i)\b", r"(?i)(?:^|[^\p{L}\p{N}_])").replace(r"\b", r"(?:$|[^\p{L}\p{N}_])").replace("'", "''")
+    return f"regexp_matches(text, '{edged}')"
+
+
+_CUE_FLAGS = {k: _cue_flag(p) for k, p in {**tx.DIALOGUE_CUES, **CUES}.items()}
 register(
     "dialogue_cues",
     lambda t: transcripts.sentences(t.transcripts()).select(ID, F.col("pos").cast("long").alias("pos"), *[c.alias(n) for n, c in tx.dialogue_cues("text", CUES).items()]),
+    "SELECT recording_id, pos, " + ", ".join(f"{v} AS {k}" for k, v in _CUE_FLAGS.items()) + f", {_CUE_FLAGS['addresses_a']} AND {_CUE_FLAGS['addresses_b']} AS strong FROM ({CATALOG['split_sentences'].sql})",
 )
 register("min_content", lambda t: t.words().filter(~tx.shorter_than("word", 2)).select(ID, "pos", "word"), "SELECT recording_id, pos, word FROM words WHERE length(trim(word, ' .,?!।')) >= 2", "words")
 
@@ -272,9 +284,17 @@ def _wav_files(t: Tables):
     return t.waveforms().select(ID, F.unhex(F.concat(head, body)).alias("content"))
 
 
+def _decoded(t: Tables, max_sec: float | None):
+    rows = fl.unpack_pcm_wav(_wav_files(t), max_sec).select(ID, "sample_rate", F.posexplode("samples").alias("i", "x"))
+    return rows.withColumns({"i": F.col("i").cast("long"), "x": F.col("x").cast("double")})
+
+
+register(
+    "unpack_pcm_wav", lambda t: _decoded(t, None),
+    "SELECT recording_id, sample_rate, unnest(range(len(samples))) AS i, unnest(list_transform(samples, lambda s: round(s::DOUBLE * 30000) / 32768)) AS x FROM waveforms", "waveforms", decimals="x",
+)
 register(
-    "unpack_pcm_wav",
-    lambda t: fl.unpack_pcm_wav(_wav_files(t), 0.2).select(ID, "sample_rate", F.posexplode("samples").alias("i", "x")).select(ID, "sample_rate", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")),
+    "unpack_pcm_wav_limited", lambda t: _decoded(t, 0.2),
     "SELECT recording_id, sample_rate, unnest(range(least(len(samples), 40))) AS i, unnest(list_transform(samples[1:40], lambda s: round(s::DOUBLE * 30000) / 32768)) AS x FROM waveforms", "waveforms", decimals="x",
 )
 register(

@@ -240,19 +240,16 @@ register(
 
 
 def _looped_phrases(t: Tables):
-    """Phrases where every third repeats its predecessor's text or is part of it."""
-    p = carry(t.phrases(), by_time(), {"before": ("lag", F.col("text"))})
-    text = (
-        F.when((F.col("pos") % 3 == 1) & F.col("before").isNotNull(), F.col("before"))
-        .when((F.col("pos") % 3 == 2) & F.col("before").isNotNull(), F.substring("before", 1, 12))
-        .otherwise(F.col("text"))
-    )
-    return p.withColumn("text", text).drop("before")
+    """Every phrase, and beside it an echo: the same again, its start behind it, or its start before it."""
+    kind = F.col("pos") % 3
+    echo = t.phrases().withColumn("text", F.when(kind == 0, F.col("text")).otherwise(F.substring("text", 1, 12)))
+    echo = echo.withColumn("pos", F.col("pos") * 3 + F.when(kind == 2, 0).otherwise(2))
+    return t.phrases().withColumn("pos", F.col("pos") * 3 + 1).unionByName(echo)
 
 
 _LOOPED = (
-    "lp AS (SELECT recording_id, pos, CASE WHEN pos % 3 = 1 AND before IS NOT NULL THEN before WHEN pos % 3 = 2 AND before IS NOT NULL THEN substring(before, 1, 12) ELSE text END AS text, start_sec, end_sec FROM "
-    "(SELECT *, lag(text) OVER (PARTITION BY recording_id ORDER BY start_sec, end_sec, pos) AS before FROM phrases)), o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY pos) AS n, "
+    "lp AS (SELECT recording_id, pos * 3 + 1 AS pos, text, start_sec, end_sec FROM phrases UNION ALL SELECT recording_id, pos * 3 + CASE WHEN pos % 3 = 2 THEN 0 ELSE 2 END, "
+    "CASE WHEN pos % 3 = 0 THEN text ELSE substring(text, 1, 12) END, start_sec, end_sec FROM phrases), o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY pos) AS n, "
     "count(*) OVER (PARTITION BY recording_id) AS last FROM lp WHERE trim(text) <> '')"
 )
 _SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -324,15 +321,14 @@ register(
     "FROM rows1 w LEFT JOIN (SELECT recording_id, pos, max(ov) AS ov, arg_max(spk, (ov, -sp)) AS hit FROM pr WHERE ov > 0 GROUP BY ALL) h "
     f"ON h.recording_id = w.recording_id AND h.pos = w.pos LEFT JOIN ({_NEAR}) n ON n.recording_id = w.recording_id AND n.pos = w.pos))",
     "segments", also="rows1 AS (SELECT recording_id, pos, speaker AS word, start_sec, start_sec + 1 AS end_sec, 0.5::DOUBLE AS score FROM segments), "
-    "evens AS (SELECT recording_id, pos, speaker, start_sec + 5 AS start_sec, start_sec + 7 AS end_sec FROM segments WHERE speaker IN ('click', 'error')), " + _PAIRS.format(rows="rows1", segs="evens"),
+    "evens AS (SELECT recording_id, pos, speaker, start_sec + 5 AS start_sec, start_sec + 7 AS end_sec FROM segments), " + _PAIRS.format(rows="rows1", segs="evens"),
     decimals="start_sec end_sec confidence",
 )
 
 
 def _even_segments(t: Tables):
-    """Sparse segments, so that many rows overlap none."""
-    s = t.segments().filter(F.col("speaker").isin("click", "error"))
-    return s.select(ID, "pos", "speaker", (F.col("start_sec") + 5).alias("start_sec"), (F.col("start_sec") + 7).alias("end_sec"))
+    """Short segments five seconds later, so that many rows overlap none."""
+    return t.segments().select(ID, "pos", "speaker", (F.col("start_sec") + 5).alias("start_sec"), (F.col("start_sec") + 7).alias("end_sec"))
 
 
 register(
@@ -379,7 +375,7 @@ def _aligned(t: Tables):
 register(
     "flatten_words",
     lambda t: intervals.flatten_words(_aligned(t)),
-    "SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY turn, i) - 1 AS pos, word, start_sec, end_sec, score, speaker FROM ("
+    "SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY turn, i) - 1 AS pos, word, start_sec, end_sec, score, speaker, 0.0::DOUBLE AS confidence FROM ("
     "SELECT recording_id, turn, trim(unnest(string_split(text, ' ')), E' \\n\\t\\r') AS word, unnest(range(len(string_split(text, ' ')))) AS i, start_sec, end_sec, 0.7::DOUBLE AS score, speaker FROM turns WHERE turn % 2 = 1 UNION ALL "
     f"SELECT recording_id, turn, unnest({_W.format('text')}), unnest(range(len({_W.format('text')}))), start_sec, end_sec, 0.5, NULL FROM turns WHERE turn % 2 = 0) WHERE word <> ''",
     "turns",

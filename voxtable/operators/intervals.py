@@ -141,6 +141,7 @@ def flatten_words(aligned: DataFrame) -> DataFrame:
     ``aligned`` has ``recording_id, seg, start_sec, end_sec, text, words`` with words
     an array of structs ``word, start_sec, end_sec, score, speaker``.  Segments
     without words are split at white space and lend their words their own times.
+    The result goes into :func:`prefer_given_speakers`; its ``confidence`` is 0.
     """
     has_words = F.size(F.coalesce("words", F.array())) > 0
     nested = aligned.filter(has_words).select(ID, "seg", F.posexplode("words").alias("i", "w"))
@@ -153,17 +154,18 @@ def flatten_words(aligned: DataFrame) -> DataFrame:
         F.col("w.end_sec").alias("end_sec"),
         F.coalesce("w.score", F.lit(0.0)).alias("score"),
         F.nullif(F.col("w.speaker"), F.lit("")).alias("speaker"),
+        F.lit(0.0).alias("confidence"),
     )
     plain = aligned.filter(~has_words).select(
         ID, "seg", F.posexplode(split_words("text")).alias("i", "word"), "start_sec", "end_sec",
-        F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("speaker"),
+        F.lit(0.5).alias("score"), F.lit(None).cast("string").alias("speaker"), F.lit(0.0).alias("confidence"),
     )
     flat = nested.unionByName(plain).filter(
         (F.coalesce("word", F.lit("")) != "") & F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull()
     )
     tl = Timeline(("seg", "i"), F.floor(F.col("seg") / 256))
     return carry(flat, tl, {"pos": ("sum", F.lit(1).cast("long"))}).select(
-        ID, (F.col("pos") - 1).alias("pos"), "word", "start_sec", "end_sec", "score", "speaker"
+        ID, (F.col("pos") - 1).alias("pos"), "word", "start_sec", "end_sec", "score", "speaker", "confidence"
     )
 
 

@@ -40,7 +40,13 @@ class Timeline:
     key: Sequence[str] = field(default=("recording_id",))
 
     def tag(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(CHUNK, F.coalesce(self.chunk.cast("long"), F.lit(-(2**62))))
+        """The rows with their chunk, dealt out by key and chunk.
+
+        Rows that a join has dealt out by the key alone would count as dealt out by key and chunk as well, and a whole
+        key would stay in one task; hence the explicit repartition.
+        """
+        tagged = df.withColumn(CHUNK, F.coalesce(self.chunk.cast("long"), F.lit(-(2**62))))
+        return tagged.repartition(*self.ids)
 
     @property
     def ids(self) -> list[str]:
@@ -269,10 +275,11 @@ def fold(
 
     ``step(state, row)`` gives the next state (SQL type ``state``) and an array of
     finished items (element type ``emitted``); ``finish(state)`` gives the items
-    left in the last state.  Every chunk is folded on its own first.  Where a key
-    has several chunks, a chunk is folded again with the state its left neighbour
-    really ended in, until no chunk's incoming state changes: the result is that
-    of the sequential machine, while a task never holds more than one chunk.
+    left in the last state.  Every chunk is run on its own first.  A chunk is run
+    again with the state its left neighbour really ended in, until no chunk's
+    incoming state changes: the result is that of the sequential machine, while a
+    task never holds more than one chunk.  Rounds read the chunks that are run again
+    and write one state per chunk; what is emitted is computed once, at the end.
     """
     tagged = tl.tag(df)
     names = list(dict.fromkeys([*tl.order, *fields]))
@@ -295,30 +302,23 @@ def fold(
 
         return F.aggregate("__items", start, advance)
 
-    several = (
-        tagged.select(*tl.ids).distinct().groupBy(*tl.key).count().filter("count > 1").limit(1)
-    )
-    done = items.withColumn("__run", machine(nothing))
-    if several.isEmpty():
-        done = done.withColumn("__rest", F.lit(True))
-    else:
-        done = durable(done.withColumn("__in", nothing))
-        while True:
-            done = done.withColumn("__left", F.lag("__run.state").over(tl.chunks))
-            done = done.withColumn("__stale", ~F.col("__left").eqNullSafe(F.col("__in")))
-            if done.filter("__stale").limit(1).isEmpty():
-                break
-            done = durable(
-                done.select(
-                    *tl.ids,
-                    "__items",
-                    F.when(F.col("__stale"), machine(F.col("__left")))
-                    .otherwise(F.col("__run"))
-                    .alias("__run"),
-                    F.col("__left").alias("__in"),
-                )
-            )
-        done = done.withColumn("__rest", F.lead(CHUNK).over(tl.chunks).isNull())
+    def last_state(incoming: Column) -> Column:
+        return F.aggregate("__items", incoming, lambda acc, row: step(acc, row)[0].cast(state))
+
+    # one row per chunk with the state it was run from and the state it ends in; the rows stay where they are
+    items = durable(items)
+    ends = durable(items.select(*tl.ids, nothing.alias("__in"), last_state(nothing).alias("__out")))
+    while True:
+        told = ends.withColumn("__left", F.lag("__out").over(tl.chunks))
+        stale = ~F.col("__left").eqNullSafe(F.col("__in"))
+        if told.filter(stale).isEmpty():
+            break
+        again = _with(items, tl, told.filter(stale), ["__left"]).select(
+            *tl.ids, F.col("__left").alias("__in"), last_state(F.col("__left")).alias("__out")
+        )
+        ends = durable(told.filter(~stale).select(*tl.ids, "__in", "__out").unionByName(again))
+    ends = ends.withColumn("__rest", F.lead(CHUNK).over(tl.chunks).isNull())
+    done = _with(items, tl, ends, ["__in", "__rest"]).withColumn("__run", machine(F.col("__in")))
     tail = F.when(
         F.col("__rest") & F.col("__run.state").isNotNull(),
         finish(F.col("__run.state")).cast(f"array<{emitted}>"),
@@ -329,6 +329,13 @@ def fold(
     return done.select(*tl.key, "__item.*")
 
 
+def _with(items: DataFrame, tl: Timeline, per_chunk: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Chunks with columns of a table of one row per chunk; a null key meets a null key."""
+    named = per_chunk.select(*[F.col(c).alias(f"__of_{c}") for c in tl.ids], *columns)
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in tl.ids]
+    return items.join(named, same).drop(*[f"__of_{c}" for c in tl.ids])
+
+
 def join_text(
     df: DataFrame, tl: Timeline, texts: dict[str, tuple[Column, str]], extra: Sequence[Column] = ()
 ) -> DataFrame:
