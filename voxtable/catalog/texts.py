@@ -117,7 +117,8 @@ register(
 register("filter_script_mismatch", lambda t: transcripts.filter_script_mismatch(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
 register(
     "resolve_language",
-    lambda t: t.transcripts().select(ID, tx.resolve_language("text", "lang").alias("language"), tx.display_text("text", F.concat(F.lit("> "), "text"), tx.resolve_language("text", "lang")).alias("shown")),
+    lambda t: t.transcripts().withColumn("language", tx.resolve_language("text", "lang")).select(
+        ID, "language", tx.display_text("text", F.concat(F.lit("> "), "text"), "language").alias("shown")),
     f"SELECT recording_id, language, CASE WHEN language IN ('en', 'kn') OR {_STRIP.format(_SHOWN)} = '' THEN {_STRIP.format('text')} ELSE {_STRIP.format(_SHOWN)} END AS shown FROM ("
     f"SELECT *, coalesce({_LANG}, CASE WHEN {_ENGLISH.format(t='text')} THEN 'en' END, nullif(lower(lang), ''), 'en') AS language FROM sc)",
     "transcripts", _SC,

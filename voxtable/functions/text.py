@@ -32,6 +32,7 @@ SCRIPTS = {
     "pa": r"[\x{0A00}-\x{0A7F}]",
     "or": r"[\x{0B00}-\x{0B7F}]",
 }
+ALL_SCRIPTS = r"\x{0900}-\x{0D7F}"
 INDIC_WORD = (
     r"[\p{L}\p{N}_\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}\x{0A80}-\x{0AFF}"
     r"\x{0B00}-\x{0B7F}\x{0B80}-\x{0BFF}\x{0C00}-\x{0C7F}\x{0C80}-\x{0CFF}\x{0D00}-\x{0D7F}]+"
@@ -71,14 +72,16 @@ def infer_language(text) -> Column:
 
 
 def _infer_language(t: Column) -> Column:
-    found = F.array_max(
-        F.array(
-            *[
-                F.struct(n.alias("n"), F.lit(-i).alias("rank"), F.lit(code).alias("code"))
-                for i, (code, n) in enumerate(script_counts(t))
-            ]
-        )
-    )
+    """One scan leaves the characters of any of the scripts, mostly none; only those are counted by script."""
+
+    def most(kept: Column) -> Column:
+        counts = [
+            F.struct(n.alias("n"), F.lit(-i).alias("rank"), F.lit(code).alias("code"))
+            for i, (code, n) in enumerate(script_counts(kept))
+        ]
+        return F.when(kept != "", F.array_max(F.array(*counts)))
+
+    found = let(F.regexp_replace(t, rf"[^{ALL_SCRIPTS}]+", ""), most)
     need = F.when(F.length(strip(t)) <= 24, F.lit(1)).otherwise(F.lit(2))
     return let(found, lambda f: F.when(f["n"] >= need, f["code"]))
 
@@ -169,17 +172,21 @@ def collapse_phrase_repeats(text, passes: int = 4) -> Column:
 def collapse_whole_string_loop(text, shortest: int = 6, longest: int = 240) -> Column:
     """A text that is one unit copied, or starts with three copies of one, keeps the unit once.
 
-    Units are tried from the longest; the first blocks alone rule out nearly all
-    lengths, so the full comparison runs on the few texts that do loop.
+    Units are tried from the longest; the first blocks alone, cut from the text's
+    head, rule out nearly all lengths, so the full comparison runs on the few texts
+    that do loop.
     """
-    return let(strip(_c(text)), lambda t: _collapse_loop(t, shortest, longest))
 
+    def bound(t: Column) -> Column:
+        once = F.struct(F.length(t).alias("n"), F.substring(t, 1, 3 * longest).alias("head"))
+        return let(once, lambda b: _collapse_loop(t, b["n"], b["head"], shortest, longest))
+
+    return let(strip(_c(text)), bound)
 
-def _collapse_loop(t: Column, shortest: int, longest: int) -> Column:
-    n = F.length(t)
 
+def _collapse_loop(t: Column, n: Column, head: Column, shortest: int, longest: int) -> Column:
     def block(k: int, size: Column) -> Column:
-        return strip(F.substring(t, F.lit(1) + F.lit(k) * size, size))
+        return strip(F.substring(head, F.lit(1) + F.lit(k) * size, size))
 
     def whole(size: Column) -> Column:
         times = F.floor(n / size).cast("int")
