@@ -386,16 +386,32 @@ def _to_analyze(t: Tables):
 register("analyze", _to_analyze)
 
 
-# --- streams, driven to their end over a table
+# --- streams, driven to their end over a table that arrives part by part
+_PARTS = 3
+
+
+def _arrivals(t: Tables):
+    """The events in parts by time, one after the other; every tenth one comes again with the part after its own."""
+    source = t.read("events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = source.agg(F.min(at), F.max(at)).first()
+    part = F.lit(0) if lo is None else F.expr(f"int(({_PARTS} * (unix_micros(cast(ts AS timestamp)) - {lo})) div {hi - lo + 1})")
+    dealt = source.withColumn("part", part)
+    again = dealt.filter(F.col("event_id") % 10 == 0).withColumn("part", F.col("part") + 1)
+    every = dealt.unionByName(again)
+    return [every.filter(F.col("part") == k).drop("part") for k in range(_PARTS + 1)]
+
+
 def _stream(t: Tables, name: str, build):
+    """What the stream has written after the last part; it is stopped and taken up again between parts."""
     spark = t.spark
-    source = t.read("events")
     folder = _scratch(t, name)
-    source.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
-    rows = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-    frames = rows.select(F.col("user_id").alias(ID), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("rms"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
-    query = build(frames, folder)
-    query.awaitTermination()
+    schema = t.read("events").schema
+    for part in _arrivals(t):
+        part.write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        frames = rows.select(F.col("user_id").alias(ID), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("rms"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+        build(frames, folder).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -403,23 +419,30 @@ def _run(df, folder):
     return df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
 
 
-# a window or session comes out once the watermark, the newest time less the delay, has passed its end
+# a window or session comes out once the watermark, the newest time less the delay, has passed its end; an event that
+# comes again counts where the watermark of the parts before hasn't passed the end that it would have by itself
+_ARRIVALS = (
+    "ends AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), "
+    f"dealt AS (SELECT user_id AS recording_id, value / 500 AS rms, epoch_us(ts) AS u, event_id, {_PARTS} * (epoch_us(ts) - lo) // (hi - lo + 1) AS part FROM events, ends), "
+    "marks AS (SELECT p, (max(u) // 1000) * 1000 AS mark FROM dealt, range(1, 9) r(p) WHERE part < p GROUP BY p), "
+    "arrived AS (SELECT recording_id, rms, u, -9000000000000000 AS mark FROM dealt UNION ALL SELECT recording_id, rms, u, mark FROM dealt JOIN marks ON p = part + 1 WHERE event_id % 10 = 0)"
+)
 register(
     "stream_windows",
     lambda t: _stream(t, "windows", lambda f, d: _run(st.stream_windows(f, "2 hours", "1 hour", "3 hours"), d)).select(
         ID, F.unix_seconds("win_start").alias("win_start"), "n_frames", "peak"),
-    "SELECT recording_id, win_start, count(*) AS n_frames, max(rms) AS peak FROM (SELECT user_id AS recording_id, value / 500 AS rms, (epoch_us(ts) // 3600000000 - unnest([0, 1])) * 3600 AS win_start FROM events) "
-    "WHERE win_start + 7200 <= (SELECT epoch_us(max(ts)) / 1e6 - 10800 FROM events) GROUP BY ALL",
-    decimals="peak",
+    "SELECT recording_id, win_start, count(*) AS n_frames, max(rms) AS peak FROM (SELECT *, (u // 3600000000 - unnest([0, 1])) * 3600 AS win_start FROM arrived) "
+    "WHERE (win_start + 7200) * 1000000 > mark - 10800000000 AND (win_start + 7200) * 1000000 <= (SELECT hi // 1000 * 1000 - 10800000000 FROM ends) GROUP BY ALL",
+    also=_ARRIVALS, decimals="peak",
 )
 register(
     "stream_speech_sessions",
     lambda t: _stream(t, "sessions", lambda f, d: _run(st.stream_speech_sessions(f, 0.1, "5 hours", "10 hours"), d)).withColumns(
         {"from_ts": F.unix_micros("from_ts"), "to_ts": F.unix_micros("to_ts")}),
     "SELECT recording_id, min(u) AS from_ts, max(u) + 18000000000 AS to_ts, count(*) AS n_frames, max(rms) AS peak FROM (SELECT *, sum(chg) OVER (PARTITION BY recording_id ORDER BY u) AS s FROM ("
-    "SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY recording_id ORDER BY u) <= 18000000000 THEN 0 ELSE 1 END AS chg FROM (SELECT user_id AS recording_id, epoch_us(ts) AS u, value / 500 AS rms FROM events WHERE value / 500 >= 0.1))) "
-    "GROUP BY recording_id, s HAVING max(u) + 18000000000 <= (SELECT max(epoch_us(ts)) - 36000000000 FROM events WHERE TRUE)",
-    decimals="peak",
+    "SELECT *, CASE WHEN u - lag(u) OVER (PARTITION BY recording_id ORDER BY u) <= 18000000000 THEN 0 ELSE 1 END AS chg FROM arrived WHERE rms >= 0.1 AND u + 18000000000 > mark - 36000000000)) "
+    "GROUP BY recording_id, s HAVING max(u) + 18000000000 <= (SELECT hi // 1000 * 1000 - 36000000000 FROM ends)",
+    also=_ARRIVALS, decimals="peak",
 )
 register(
     "stream_log",
