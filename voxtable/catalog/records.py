@@ -83,6 +83,30 @@ register(
 )
 
 
+def _appended(t: Tables, append):
+    """The log after two appends, read back."""
+    folder = _scratch(t, "log")
+    answers = _answers(t)
+    append(answers.filter("id >= 0"), folder)
+    append(answers.filter("id < 0"), folder)
+    return lg.read_log(t.spark, folder).withColumn("created_at", F.unix_seconds("created_at"))
+
+
+register(
+    "analysis_log_roundtrip",
+    lambda t: lg.read_analysis(_appended(t, lg.append_analysis)).withColumn("sounds", F.array_join("sounds", "|")),
+    "SELECT id, 'clip' || conv_id AS filename, role AS question, coalesce(transcript, '') AS transcript, CASE WHEN turn % 3 > 0 THEN role || '|dog \"barking\"' ELSE '' END AS sounds, "
+    "CASE WHEN turn % 3 = 1 THEN 'calm' ELSE '' END AS emotion, role AS answer, conv_id * 3600 AS created_at FROM an",
+    also=_ANSWERS,
+)
+register(
+    "inference_log_roundtrip",
+    lambda t: _appended(t, lg.append_inference).withColumn("payload", F.hex("payload")),
+    "SELECT id, 'clip' || conv_id AS filename, octet_length(encode(text))::DOUBLE AS duration, 'audio/wav' AS mime, hex(encode(role)) AS payload, role AS question, role AS answer, conv_id * 3600 AS created_at FROM an",
+    also=_ANSWERS,
+)
+
+
 def _stored(t: Tables):
     """Event properties as stored lists, some broken, some missing."""
     kind = F.col("event_id") % 4
@@ -105,6 +129,15 @@ register(
 register("read_manifest", lambda t: dataset.read_manifest(t.manifest(), _clip_files(t)), "SELECT '/audio/' || filename AS path, target, category, fold FROM manifest JOIN (SELECT s_suppkey * 3 AS k FROM supplier) ON filename = 'clip' || k || '.wav'", "manifest")
 
 
+def _manifest_files(t: Tables):
+    folder = _scratch(t, "manifest")
+    t.manifest().withColumn("take", F.lit('A "quoted", part')).write.option("header", "true").option("escape", '"').csv(folder)
+    return dataset.read_manifest(dataset.read_manifest_csv(t.spark, folder), _clip_files(t))
+
+
+register("read_manifest_csv", _manifest_files, "SELECT '/audio/' || filename AS path, target, category, fold FROM manifest JOIN (SELECT s_suppkey * 3 AS k FROM supplier) ON filename = 'clip' || k || '.wav'", "manifest")
+
+
 def _clip_files(t: Tables):
     return t.read("supplier").select(F.concat(F.lit("/audio/clip"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".wav")).alias("path"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import class_weights
@@ -68,6 +68,15 @@ def train_classifier(
     )
 
 
+def read_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest from CSV files with a header; other columns are left out, a missing category or fold is null."""
+    rows = spark.read.option("header", "true").option("escape", '"').csv(path)
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    return rows.select(
+        "filename", F.col("target").cast("int").alias("target"), have("category").cast("string").alias("category"), have("fold").cast("int").alias("fold")
+    )
+
+
 def read_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest rows whose file exists; a target's category is the last one the manifest gives it.
 

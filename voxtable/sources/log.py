@@ -43,6 +43,11 @@ def read_analysis(log: DataFrame) -> DataFrame:
     return log.withColumn("sounds", F.coalesce(sounds, empty)).drop("sounds_json")
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All entries appended so far, without the column of the day folders."""
+    return spark.read.parquet(path).drop("day")
+
+
 def write_metrics_report(report: DataFrame, path: str) -> None:
     """One JSON record per report row."""
     report.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
