@@ -12,7 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
     "talk_report", "merge_asr_turns", "assign_words", "assign_phrases", "noise_threshold", "fuse_detectors", "language_vote",
-    "infer_language", "keep_script", "read_analysis", "stratified_split", "label_ids", "best_epoch", "normalize_embeddings", "dialogue_speakers", "stream_log",
+    "infer_language", "keep_script", "read_analysis", "stratified_split", "label_ids", "best_epoch", "normalize_embeddings", "dialogue_speakers", "stream_log", "stream_windows",
+    "stream_speech_sessions", "spoken_pieces", "analysis_log_roundtrip", "inference_log_roundtrip", "read_manifest_csv",
 ]
 
 

@@ -404,6 +404,12 @@ register("diarize", lambda t: di.diarize(t.frames(), _talk_clips(t), _embed(t),
 register("align_words", lambda t: di.align_words(t.words(), t.turn_segments())[0])
 
 
+def _heard(t: Tables):
+    """What the plan takes besides texts: turns by voice, detector hits and an emotion per turn."""
+    preds = t.turns().select(ID, "turn", F.when(F.col("turn") % 2 == 0, "happy").otherwise("sad").alias("emotion"))
+    return t.turns().drop("role"), t.hits(), preds
+
+
 def _to_analyze(t: Tables):
     from ..operators.report import plain_transcript
 
@@ -411,11 +417,22 @@ def _to_analyze(t: Tables):
         ID, F.col("transcript_original").alias("original"), F.lit(None).cast("string").alias("translated"), F.lit("auto").alias("lang"),
         F.when(F.col(ID) % 2 == 0, "calm").otherwise("").alias("emotion"),
     )
-    voiced = t.turns().drop("role")
-    preds = t.turns().select(ID, "turn", F.when(F.col("turn") % 2 == 0, "happy").otherwise("sad").alias("emotion"))
-    return an.analyze(recs, voiced, t.hits(), preds)
+    return an.analyze(recs, *_heard(t))
+
+
+def _pieces(t: Tables):
+    """Turns as transcribed pieces in English or in the language that a model gave, some with a translation."""
+    code = F.element_at(F.array(*[F.lit(x) for x in ("kn", "de", "fr")]), (F.col("turn") % 3 + 1).cast("int"))
+    other = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("translated "), "text"))
+    return t.turns().select(ID, F.col("turn").alias("pos"), F.col("text").alias("original"), other.alias("translated"), code.alias("lang"))
+
+
+def _analyze_pieces(t: Tables):
+    recs = t.turns().groupBy(ID).agg(F.when(F.col(ID) % 2 == 0, "calm").otherwise("").alias("emotion"))
+    return an.analyze(recs, *_heard(t), chunks=_pieces(t))
 
 
+register("analyze_pieces", _analyze_pieces)
 register("analyze", _to_analyze)
 
 

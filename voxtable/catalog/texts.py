@@ -8,6 +8,7 @@ from ..functions import languages, text as tx
 from ..operators import transcripts
 from ..operators.ordered import Timeline, carry, spread
 from ..sources import files as fl
+from ..plans.analyze import spoken_pieces
 from .fixtures import Tables
 from .registry import CATALOG, register
 
@@ -123,6 +124,23 @@ register(
     f"SELECT *, coalesce({_LANG}, CASE WHEN {_ENGLISH.format(t='text')} THEN 'en' END, nullif(lower(lang), ''), 'en') AS language FROM sc)",
     "transcripts", _SC,
 )
+
+
+def _pieces_of_five(t: Tables):
+    """Five texts in a row as the pieces of one recording, with a marked translation."""
+    return t.transcripts().select(
+        F.floor(F.col(ID) / 5).alias(ID), F.col(ID).alias("pos"), F.col("text").alias("original"), F.concat(F.lit("> "), "text").alias("translated"), "lang")
+
+
+register(
+    "spoken_pieces",
+    lambda t: spoken_pieces(_pieces_of_five(t)).select(ID, "original", "transcript", "language", F.array_join("languages", "|").alias("languages")),
+    "SELECT recording_id, string_agg(original, ' ' ORDER BY pos) AS original, string_agg(shown, ' ' ORDER BY pos) AS transcript, CASE WHEN count(DISTINCT language) = 1 THEN any_value(language) ELSE 'multi' END AS language, "
+    "string_agg(CASE WHEN first THEN language END, '|' ORDER BY pos) AS languages FROM (SELECT *, pos = min(pos) OVER (PARTITION BY recording_id, language) AS first FROM ("
+    f"SELECT recording_id // 5 AS recording_id, recording_id AS pos, original, language, CASE WHEN language IN ('en', 'kn') THEN original ELSE {_STRIP.format(_SHOWN)} END AS shown FROM ("
+    f"SELECT *, {_STRIP.format('text')} AS original, coalesce({_LANG}, CASE WHEN {_ENGLISH.format(t='text')} THEN 'en' END, nullif(lower(lang), ''), 'en') AS language FROM sc) WHERE original <> '')) GROUP BY recording_id",
+    "transcripts", _SC,
+)
 _MASK = "regexp_replace({}, '(?i)\\b(Mrs|Mr|Ms|Dr|Prof|Sr|Jr|vs|etc|i\\.e|e\\.g)\\.', '\\1․', 'g')"
 _CUT = "regexp_replace({}, '(?i)\\s+(Oh|Yeah|Hmm|OK|Okay|Yes|No|Mom|Dear)([^\\p{{L}}\\p{{N}}_]|$)', chr(1) || '\\1\\2', 'g')"
 register(

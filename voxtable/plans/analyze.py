@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.languages import language_label
 from ..functions.text import display_text, resolve_language, strip, strip_speaker_prefixes
 from ..operators.islands import ID
-from ..operators.ordered import attach, durable
+from ..operators.ordered import attach, by_position, durable, join_text
 from ..operators.report import (
-    build_context, conversation_transcript, detected_speakers, emotion_map, num_speakers, speaker_emotions, template_answer,
+    build_context, conversation_transcript, detected_speakers, emotion_map, language_rollup, num_speakers, speaker_emotions,
+    template_answer,
 )
 from ..operators.sounds import add_speech_event, event_labels, events_array, fuse_detectors
 from ..operators.speakers import dialogue_from_text, normalize_turns, turns_result
@@ -35,17 +36,63 @@ def chosen_turns(voiced: DataFrame, spoken: DataFrame, cues: dict[str, str] | No
     return out
 
 
+def spoken_pieces(chunks: DataFrame) -> DataFrame:
+    """Texts and languages per recording from its transcribed pieces, each in a language of its own.
+
+    ``chunks`` has ``recording_id, pos, original, translated, lang``; pieces without text are left out.  The result has
+    ``original, transcript, language, language_name, languages, language_names``; the language of a recording with
+    several is ``multi``, its name lists them.
+    """
+    pieces = chunks.withColumn("original", strip(F.coalesce("original", F.lit("")))).filter("original <> ''")
+    pieces = pieces.withColumn("code", resolve_language("original", "lang"))
+    pieces = pieces.withColumn("transcript", display_text("original", "translated", "code"))
+    texts = join_text(pieces, by_position(), {c: (F.col(c), " ") for c in ("original", "transcript")})
+    return attach(texts, language_rollup(pieces))
+
+
+def _languages(recs: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    if chunks is None:
+        one = recs.withColumn("language", resolve_language("original", "lang"))
+        one = one.withColumn("transcript", display_text("original", "translated", "language"))
+        return one.withColumns(
+            {
+                "language_name": language_label("language"),
+                "languages": F.array("language"),
+                "language_names": F.array(language_label("language")),
+            }
+        )
+    none = F.array().cast("array<string>")
+    many = attach(recs.select(ID, "emotion"), spoken_pieces(chunks))
+    return many.withColumns(
+        {
+            "original": F.coalesce("original", F.lit("")),
+            "transcript": F.coalesce("transcript", F.lit("")),
+            "language": F.coalesce("language", F.lit("en")),
+            "language_name": F.coalesce("language_name", language_label(F.lit("en"))),
+            "languages": F.coalesce("languages", none),
+            "language_names": F.coalesce("language_names", none),
+        }
+    )
+
+
+def listed_turns(turns: DataFrame) -> DataFrame:
+    """The turns of a recording in order, as one array of structs."""
+    fields = [c for c in ("turn", "speaker", "start_sec", "end_sec", "text", "text_original") if c in turns.columns]
+    return turns.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("speaker_turns"))
+
+
 def analyze(
-    recs: DataFrame, turns: DataFrame, hits: DataFrame, preds: DataFrame, cues: dict[str, str] | None = None
+    recs: DataFrame, turns: DataFrame, hits: DataFrame, preds: DataFrame, cues: dict[str, str] | None = None,
+    chunks: DataFrame | None = None,
 ) -> DataFrame:
-    """Transcript, language, speakers, sounds, emotion, context and answer of every recording.
+    """Transcript, languages, turns, sounds, emotion, context and answer of every recording.
 
     ``recs`` has ``recording_id, original, translated, lang, emotion``; ``turns`` the
     turns found by voice (may lack recordings), ``hits`` detector hits and ``preds``
-    an emotion per turn.
+    an emotion per turn.  With ``chunks`` (see :func:`spoken_pieces`) texts and languages
+    come from them, and ``recs`` needs only ``recording_id, emotion``.
     """
-    given = recs.withColumn("language", resolve_language("original", "lang"))
-    given = given.withColumn("transcript", display_text("original", "translated", "language"))
+    given = _languages(recs, chunks)
     spoken = clean_transcript(given, ID, "transcript")
     spoken = durable(clean_transcript(spoken, ID, "original").withColumnRenamed("original", "transcript_original"))
 
@@ -61,7 +108,6 @@ def analyze(
             "transcript": F.coalesce(F.nullif(F.col("__t"), F.lit("")), F.col("transcript")),
             "transcript_original": F.coalesce(F.nullif(F.col("__o"), F.lit("")), F.col("transcript_original")),
             "num_speakers": F.coalesce("num_speakers", F.lit(0)),
-            "languages": F.array("language"),
         }
     ).drop("__t", "__o")
     base = attach(base, events_array(fuse_detectors(hits)))
@@ -70,15 +116,16 @@ def analyze(
 
     moods = emotion_map(speaker_emotions(shown, preds, recs.select(ID, "emotion")))
     for extra in (
-        detected_speakers(shown), conversation_transcript(shown), moods, build_context(base, shown), template_answer(base, shown),
+        detected_speakers(shown), conversation_transcript(shown), listed_turns(shown), moods, build_context(base, shown),
+        template_answer(base, shown),
     ):
         base = attach(base, extra)
     return base.select(
-        ID, "transcript", "transcript_original", "language", language_label("language").alias("language_name"), "languages",
-        "num_speakers",
+        ID, "transcript", "transcript_original", "language", "language_name", "languages", "language_names",
+        "speaker_turns", "num_speakers",
         F.coalesce("speakers", F.array().cast("array<string>")).alias("detected_speakers"),
         F.coalesce(F.nullif(F.col("formatted_transcript"), F.lit("")), F.col("transcript")).alias("formatted_transcript"),
         F.col("events").alias("sound_events"),
         F.coalesce(F.nullif(strip("emotion"), F.lit("")), F.lit("neutral")).alias("emotion"),
-        "speaker_emotions", "context", "answer",
+        "speaker_emotions", "context", "answer", F.col("answer").alias("summary"),
     )
