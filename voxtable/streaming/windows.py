@@ -19,8 +19,12 @@ def stream_windows(frames: DataFrame, win: str, hop: str, late: str, ts: str = "
 
 
 def stream_speech_sessions(frames: DataFrame, floor_rms: float, silence: str, late: str, ts: str = "ts") -> DataFrame:
-    """Speech regions of a stream: frames above a level, closed by a silence gap."""
-    loud = frames.withWatermark(ts, late).filter(F.col("rms") >= floor_rms)
+    """Speech regions of a stream: frames above a level, closed by a silence gap.
+
+    The watermark follows all frames, so quiet ones close a region too.  Hence the condition names the time: a filter
+    without it would be moved below the watermark.
+    """
+    loud = frames.withWatermark(ts, late).filter(F.when(F.col(ts).isNotNull(), F.col("rms") >= floor_rms))
     out = loud.groupBy(ID, F.session_window(ts, silence)).agg(F.count("*").alias("n_frames"), F.max("rms").alias("peak"))
     return out.select(
         ID, F.col("session_window.start").alias("from_ts"), F.col("session_window.end").alias("to_ts"), "n_frames", "peak"
