@@ -66,6 +66,22 @@ def test_lines_rows_and_columns(docs):
     assert lines.deduplicate_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows with a null or the same doc_id are documents of their own; equal rows are copies of the first."""
+    shared, long = "this line is in several rows", "a line of more than twenty characters"
+    texts = [
+        (7, "one\ntwo\nthree"), (7, "four\nfive\nthree"), (7, "four\nfive\nthree"), (8, "one\ntwo"), (8, "one\ntwo"), (8, " \n"), (8, " \n"),
+        (None, f"{shared}\nsix"), (None, f"{shared}\nseven"), (None, f"{shared}\nseven"), (None, f"eight\n{long}"), (None, f"nine\n{long[:-1]}"),
+    ]
+    rows = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts)], "doc_id long, text string, i int")
+    got = sorted((r["i"], r["text"]) for r in lines.remove_lines(rows).collect())
+    assert got == [
+        (0, "one\ntwo\nthree"), (1, "four\nfive"), (5, " \n"), (6, " \n"), (7, f"{shared}\nsix"), (8, "seven"), (10, f"eight\n{long}"), (11, "nine")
+    ]
+    judged = lines.deduplicate_lines(rows)
+    assert {(r["doc_id"], r["line_no"]) for r in judged.where("kept").collect()} >= {(None, 0), (7, 0), (7, 1)}
+
+
 def test_model_sums_to_one_and_beats_base(spark, docs):
     model = lm.train(docs)
     reader = lm.Reader(model)

@@ -17,10 +17,10 @@ SPACE = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, a null text as the empty one; other columns of whatever name are left out."""
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text, a null text as the empty one, and ``more``; other columns of whatever name are left out."""
     return docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
+        docs["doc_id"].cast("long").alias("doc_id"), *more, F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
     )
 
 

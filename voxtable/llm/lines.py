@@ -111,9 +111,10 @@ def _batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
 
 
 def _lines(batches) -> Iterator[pa.RecordBatch]:
-    for ids, some in groups_of(batches, ["doc_id", "text"], 1 << 20):
+    for ids, rows, some in groups_of(batches, ["doc_id", "row", "text"], 1 << 20):
         s = Scan(some)
-        yield _batch(doc_id=pa.array(ids, pa.int64()).take(pa.array(s.text)), line_no=s.line_no.astype(np.int32), h1=s.hashes[0], h2=s.hashes[1])
+        of = pa.array(s.text)
+        yield _batch(doc_id=pa.array(ids, pa.int64()).take(of), row=pa.array(rows, pa.int64()).take(of), line_no=s.line_no.astype(np.int32), h1=s.hashes[0], h2=s.hashes[1])
 
 
 def _blocks(batches) -> Iterator[pa.RecordBatch]:
@@ -123,9 +124,9 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         yield _batch(key=v["key"], where=v["where"].astype(np.int32), n=v["n"].astype(np.int32), h1=s.hashes[0][v["row"]], h2=s.hashes[1][v["row"]])
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Each line with a character that isn't white space: doc_id, line_no (of all lines, from 0) and a hash of 128 bits."""
-    return texts(docs).mapInArrow(_lines, "doc_id long, line_no int, h1 long, h2 long")
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Each line with a character that isn't white space: doc_id, row, line_no (of all lines, from 0) and a hash of 128 bits."""
+    return rows.select("doc_id", "row", "text").mapInArrow(_lines, "doc_id long, row long, line_no int, h1 long, h2 long")
 
 
 def span(length: int, where: int) -> tuple[int, int]:
@@ -173,16 +174,16 @@ def _matching(batches) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(kept, pa.bool_()))
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1, h2 of each distinct line that an earlier one is within one edit of, with the place of the earliest such line.
 
-    ``firsts`` holds every distinct line's first place (h1, h2, at). Only lines that share a block variant with another
+    ``rows`` are doc_id, row and text. ``firsts`` holds every distinct line's first place (h1, h2, at). Only lines that share a block variant with another
     one of the same length, or of a length one off, can have a neighbour; only they get deletion variants, and only in the
     blocks concerned. Equal variants with the same place are neighbours of each other (one character replaced), and of a
     line that equals a longer one's variant (one removed). So the earliest of a group is all that a member has to be
     verified against, and no pairs are listed.
     """
-    blocks = texts(docs).select("text").mapInArrow(_blocks, "key long, where int, n int, h1 long, h2 long")
+    blocks = rows.select("text").mapInArrow(_blocks, "key long, where int, n int, h1 long, h2 long")
     shared = written(blocks.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "shared")
     hits = written(blocks.join(shared, "key").distinct(), "hits")
 
@@ -197,12 +198,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         F.collect_set(F.when(~is_short, F.col("where"))).alias("longer"),
         F.max(is_short & (F.col("longer") == 1)).alias("shorter"),
     ).where("size(same) > 0 OR size(longer) > 0 OR shorter")
-    wanted = wanted.join(firsts, ["h1", "h2"]).select("h1", "h2", "same", "longer", "shorter", "at.doc_id", "at.line_no")
-    by_doc = written(wanted, "wanted").groupBy(F.col("doc_id").alias("__doc")).agg(
-        F.collect_set(F.struct("line_no", "h1", "h2", "same", "longer", "shorter", F.struct("doc_id", "line_no").alias("at"))).alias("of")
+    wanted = wanted.join(firsts, ["h1", "h2"]).select("h1", "h2", "same", "longer", "shorter", "at.doc_id", "at.row", "at.line_no")
+    by_doc = written(wanted, "wanted").groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(
+        F.collect_set(F.struct("line_no", "h1", "h2", "same", "longer", "shorter", F.struct("doc_id", "row", "line_no").alias("at"))).alias("of")
     )
     # always by shuffle: a switch to broadcasting a small side would hide what larger inputs move
-    full = texts(docs).join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")))
+    full = rows.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")))
     full = full.select(F.split("text", "\n").alias("all"), F.explode("of").alias("x")).select("x.*", F.get("all", "x.line_no").alias("line"))
     full = written(full.mapInArrow(_matching, full.schema).dropDuplicates(["h1", "h2"]), "lines")
 
@@ -220,6 +221,23 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return close.groupBy("h1", "h2").agg(F.min("other.at").alias("near"))
 
 
+def judge_lines(rows: DataFrame) -> DataFrame:
+    """One row for each line that isn't blank of ``rows`` (doc_id, row, text): its place, copy, near, kept and earliest.
+
+    A place is (doc_id, row, line_no), in that order and null first; the rest is as in :func:`deduplicate_lines`.
+    """
+    small_batches(rows.sparkSession)
+    place = F.struct("doc_id", "row", "line_no")
+    every = written(lines_of(rows), "every")
+    firsts = written(every.groupBy("h1", "h2").agg(F.min(place).alias("at")), "firsts")
+    verdicts = firsts.join(near_lines(rows, firsts), ["h1", "h2"], "left")
+    out = every.join(verdicts, ["h1", "h2"])
+    copy, near = ~place.eqNullSafe(F.col("at")), F.col("near").isNotNull()
+    return out.select(
+        "doc_id", "row", "line_no", copy.alias("copy"), near.alias("near"), (~copy & ~near).alias("kept"), F.least("at", F.coalesce("near", "at")).alias("earliest")
+    )
+
+
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
     """One row for each line that isn't blank: doc_id, line_no, copy, near, kept and earliest (doc_id, line_no).
 
@@ -229,29 +247,23 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     no lines; rows that repeat a doc_id and a line count as one place; an empty table gives no row; other columns are
     ignored.
     """
-    small_batches(docs.sparkSession)
-    place = F.struct("doc_id", "line_no")
-    every = written(lines_of(docs), "every")
-    firsts = written(every.groupBy("h1", "h2").agg(F.min(place).alias("at")), "firsts")
-    verdicts = firsts.join(near_lines(docs, firsts), ["h1", "h2"], "left")
-    out = every.join(verdicts, ["h1", "h2"])
-    copy, near = ~place.eqNullSafe(F.col("at")), F.col("near").isNotNull()
-    return out.select(
-        "doc_id", "line_no", copy.alias("copy"), near.alias("near"), (~copy & ~near).alias("kept"), F.least("at", F.coalesce("near", "at")).alias("earliest")
-    )
+    out = judge_lines(texts(docs).withColumn("row", F.lit(0).cast("long")))
+    return out.select("doc_id", "line_no", "copy", "near", "kept", F.struct("earliest.doc_id", "earliest.line_no").alias("earliest"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without the lines that :func:`deduplicate_lines` doesn't keep.
+    """The documents, with all their columns, without the lines that repeat an earlier one up to one edit.
 
-    Blank lines stay. A document of which every line with a character goes is a copy as a whole and goes; one that had no
-    such line stays as it is.
+    Each row is a document of its own, whatever its doc_id: lines are in the order of doc_id (null first), then of the row
+    in the table, then line_no, and judged as in :func:`deduplicate_lines`. Blank lines stay. A row of which every line
+    with a character goes is a copy as a whole and goes; one that had no such line stays as it is.
     """
-    lines = deduplicate_lines(docs)
-    gone = lines.groupBy("doc_id").agg(F.count("*").alias("__n"), F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone"))
-    gone = gone.where(F.size("__gone") > 0).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]), "left")
+    # numbered once and written, as the numbers must be the same wherever the rows are read again
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    lines = judge_lines(texts(docs, docs["__row"].alias("row")))
+    gone = lines.groupBy(F.col("row").alias("__of")).agg(F.count("*").alias("__n"), F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone"))
+    joined = docs.join(gone.where(F.size("__gone") > 0), F.col("__row") == F.col("__of"), "left")
     rest = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(rest).alias("text")
     kept = joined.where(F.col("__gone").isNull() | (F.size("__gone") < F.col("__n")))
-    return kept.select(*(text if c == "text" else docs[c] for c in docs.columns))
+    return kept.select(*(text if c == "text" else docs[c] for c in docs.columns if c != "__row"))
