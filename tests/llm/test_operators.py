@@ -137,6 +137,22 @@ def test_leaks_by_brute_force(spark):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_leaks_of_items_and_rows_that_share_an_id(spark, monkeypatch):
+    """Every text under an id, or under none, is looked for, in one block or in several, and every row judged by its own text."""
+    a, b, c = "the first passage of one test set", "some question of quite another set", "a passage that came without any id"
+    bench = spark.createDataFrame([(0, a), (0, b), (0, b), (None, c), (None, c.upper()), (None, None), (5, c)], "item_id long, text string")
+    texts = [(1, f"x {a} y"), (1, "nothing here"), (None, f"x {b}"), (None, "nor there"), (2, f"{a[1:]} and {b}"), (3, c), (4, None)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts)], "doc_id long, text string, i int")
+    for size in (1_000_000, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", size)
+        assert sorted(r["i"] for r in decontamination.decontaminate(docs, bench).collect()) == [1, 3, 6]
+        got = [tuple(r) for r in decontamination.decontamination_report(docs, bench).collect()]
+        none = (0, None, None, True)
+        assert got == [(1, 1, 0, 0, False), (1, *none), (None, 1, 0, 0, False), (None, *none), (2, 2, 0, 0, False), (3, 2, 5, 0, False), (4, *none)]
+        pairs = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["distance"]) for r in decontamination.find_leaks(docs, bench).collect())
+        assert pairs == [(0, 0, 0), (1, 0, 0), (2, 0, 0), (2, 0, 1), (3, 0, 0), (3, 5, 0)]
+
+
 def test_near_duplicates(spark, docs):
     got = {r["doc_id"]: r for r in near_duplicates.near_duplicates(docs, 85).collect()}
     texts = {d: set(near_duplicates.shingles(t).tolist()) for d, t in plain(docs) if d is not None}

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, small_batches, texts
+from .common import small_batches, texts, written
 
-LEAK = "doc_id long, item_id long, distance int, start long"
+LEAKS = "array<struct<item_id: long, distance: int, start: long>>"
 #: Characters of items that one pass over the documents looks for; larger sets take more passes.
 BLOCK_CHARS = 1_000_000
 #: Items under this length are matched only by a document that is nothing else; inside texts they mean nothing.
@@ -113,9 +114,9 @@ class Item:
 
 
 class Finder:
-    """All items of a block, and an automaton over their pieces."""
+    """All items of a block, by any keys, and an automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: Iterable[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items: dict[int, Item] = {}
@@ -156,59 +157,78 @@ class Finder:
                 yield item, *best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.1) -> DataFrame:
-    """Pairs of a document and an item of ``items`` (item_id, text) that it holds within the item's error budget.
+def _normal_items(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, some = (batch.column(c).to_pylist() for c in ("item_id", "text"))
+        rows = [(item, normal(text)) for item, text in zip(ids, some, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string())], ["item_id", "text"])
 
-    Both texts are compared in lower case with white space squashed; the budget is ``error_rate`` times the item's
-    length, in edits of one character. Returns doc_id, item_id, distance (the least edits) and start (about where, in
-    the squashed text). Null or empty texts hold nothing, null or empty items and those without an id are in nothing;
-    repeated documents give repeated pairs, of repeated items one counts; an item under ``SHORT`` characters is held by
-    a document that equals it. Other columns are ignored. Items are looked for block by block, each of a bounded size.
+
+def leaks_in(items: DataFrame, error_rate: float = 0.1) -> Callable[[Column], Column]:
+    """A column function from text (null: empty) to the items (item_id, distance, start) that it holds, as an array.
+
+    Each distinct pair of an id, which may be null, and a text without case and white space is an item of its own: two texts
+    under one id are both looked for, and ids of one text are all reported. Null or empty items are in nothing.
     """
-    spark = docs.sparkSession
+    spark = items.sparkSession
     small_batches(spark)
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    wanted = wanted.where("item_id IS NOT NULL AND trim(text) <> ''")
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wanted = written(wanted.mapInArrow(_normal_items, "item_id long, text string").where("text <> ''").distinct(), "items")
     total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    out = None
+    searches = []
     for block in range(blocks):
-        some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).groupBy("item_id").agg(F.min("text").alias("text"))
-        sent = spark.sparkContext.broadcast([(r["item_id"], normal(r["text"])) for r in some.collect()])
-        pairs = texts(docs).mapInArrow(_searcher(sent, error_rate), LEAK)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def _searcher(sent, error_rate: float):
-    def search(batches) -> Iterator[pa.RecordBatch]:
-        finder = Finder([x for x in sent.value if x[1]], error_rate)
-        for ids, some in groups_of(batches, ["doc_id", "text"], 1 << 21):
-            rows = [(doc, *leak) for doc, text in zip(ids, some, strict=True) for leak in finder.leaks(normal(text))]
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "distance", "start"]
-                )
+        ids = defaultdict(list)
+        for r in wanted.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect():
+            ids[r["text"]].append(r["item_id"])
+        searches.append(_search(spark.sparkContext.broadcast(dict(ids)), error_rate))
+
+    def column(text: Column) -> Column:
+        found = [search(text.cast("string")) for search in searches]
+        return F.concat(*found) if len(found) > 1 else found[0]
+
+    return column
+
+
+def _search(sent, error_rate: float):
+    @F.pandas_udf(LEAKS)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = list(sent.value.values())
+        finder = Finder(enumerate(sent.value), error_rate)
+        for some in batches:
+            found = [[(item, *place) for k, *place in finder.leaks(normal(text or "")) for item in ids[k]] for text in some]
+            yield pd.Series([[dict(zip(("item_id", "distance", "start"), x, strict=True)) for x in row] for row in found], dtype=object)
 
     return search
 
 
+def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = 0.1) -> DataFrame:
+    """Pairs of a document and an item of ``items`` (item_id, text) that it holds within the item's error budget.
+
+    Both texts are compared in lower case with white space squashed; the budget is ``error_rate`` times the item's
+    length, in edits of one character. Returns doc_id, item_id, distance (the least edits) and start (about where, in
+    the squashed text). Null or empty texts hold nothing, null or empty items are in nothing; repeated documents give
+    repeated pairs; of equal items with one id, or with none, one counts, while unequal ones that share an id give a pair
+    each; an item under ``SHORT`` characters is held by a document that equals it. Other columns are ignored. Items are
+    looked for block by block, each of a bounded size.
+    """
+    found = texts(docs).select("doc_id", leaks_in(items, error_rate)(F.col("text")).alias("leaks"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
 def decontamination_report(docs: DataFrame, items: DataFrame, error_rate: float = 0.1) -> DataFrame:
-    """One row a document: doc_id, n_items it holds, the nearest item_id and its distance (null: none), kept (none held).
+    """One row for each row of ``docs``, judged by its own text whatever its doc_id.
 
-    Rows that repeat a doc_id are one document here; a null doc_id gives one row, which holds what any of its rows hold.
+    Returns doc_id, n_items it holds, the nearest item_id and its distance (null: none), kept (none held). At the same
+    distance the smallest item_id is the nearest, and one that is null comes last.
     """
-    leaks = find_leaks(docs, items, error_rate).groupBy("doc_id").agg(
-        F.count_distinct("item_id").alias("n_items"), F.min(F.struct("distance", "item_id")).alias("nearest")
-    )
-    ids = texts(docs).select("doc_id").distinct()
-    return ids.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left").select(
-        "d.doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "nearest.item_id", "nearest.distance", F.col("n_items").isNull().alias("kept")
-    )
+    found = texts(docs).select("doc_id", leaks_in(items, error_rate)(F.col("text")).alias("leaks"))
+    order = F.transform("leaks", lambda x: F.struct(x["distance"].alias("distance"), x["item_id"].isNull().alias("without"), x["item_id"].alias("item_id")))
+    out = found.select("doc_id", F.size("leaks").cast("long").alias("n_items"), F.array_min(order).alias("nearest"))
+    return out.select("doc_id", "n_items", "nearest.item_id", "nearest.distance", (F.col("n_items") == 0).alias("kept"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = 0.1) -> DataFrame:
-    """The documents, with all their columns, that hold no item; by doc_id, so a null doc_id always stays."""
-    leaks = find_leaks(docs, items, error_rate).select(F.col("doc_id").alias("__leaking")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == leaks["__leaking"], "left_anti")
+    """The documents, with all their columns, that hold no item; each row is judged by its own text, whatever its doc_id."""
+    small_batches(docs.sparkSession)
+    return docs.where(F.size(leaks_in(items, error_rate)(docs["text"])) == 0)
