@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxtable.llm import decontamination, language, lines, lm, near_duplicates, packing, personal, quality, token_files, toxicity
+from voxtable.llm import common, decontamination, language, lines, lm, near_duplicates, packing, personal, quality, token_files, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, key string"
 
@@ -196,6 +196,22 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language.predict_languages(docs, none).collect()} == {"und"}
 
 
+def test_classes_made_of_copies(spark):
+    """Copies of a text are drawn once: the bound holds, and a class of many rows but few texts is learned."""
+    rows = [(f"the thing {i} and that", "en", 0) for i in range(300)]
+    rows += [(f"der hund und das {x}", "de", 1) for x in "abcdefgh"] * 400 + [("la casa es", "es", 1)] * 2
+    labelled = spark.createDataFrame(rows, "text string, lang string, toxic int")
+    sample, sizes, shares = common.draw_texts(labelled, "lang", 17, 120)
+    got = [(r["lang"], r["text"]) for r in sample.collect()]
+    assert len(got) == len(set(got)) and 28 < len(got) < 62
+    assert sizes == {"en": 300, "de": 8, "es": 1} and shares == {"en": 40 / 300, "de": 1.0, "es": 1.0}
+    test = spark.createDataFrame([(1, "der hund und das"), (2, "the thing 7 and that")], "doc_id long, text string")
+    model = language.train_language_model(labelled.where("lang <> 'es'"), max_rows=60)
+    assert [r["lang_pred"] for r in language.predict_languages(test, model).collect()] == ["de", "en"]
+    marked = toxicity.train_toxicity_model(labelled, max_rows=60)
+    assert [r["predicted"] for r in toxicity.score_toxicity(test, marked).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_quality(spark, docs):
     def repeated(words):
         windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

@@ -29,6 +29,21 @@ def in_fold(divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(True))
 
 
+def draw_texts(rows: DataFrame, label: str, seed: int, max_rows: int) -> tuple[DataFrame, dict, dict]:
+    """About ``max_rows`` distinct pairs of a label and a text of ``rows``, the same number for each label as far as it has them.
+
+    Drawn by ``drawn``, a hash of the text that comes along. Also the number of distinct texts by label, and the share drawn.
+    """
+    drawn = F.xxhash64("text", F.lit(seed))
+    sizes = {r[label]: r["count"] for r in rows.select(label, drawn).distinct().groupBy(label).count().collect()}  # one row a label
+    shares = {x: min(1.0, max_rows / len(sizes) / n) for x, n in sizes.items()}
+    if not sizes:
+        return rows.select(label, "text", drawn.alias("drawn")).limit(0), sizes, shares
+    bound = F.create_map(*(F.lit(v) for x in sorted(shares) for v in (x, shares[x])))
+    part = F.pmod(drawn, F.lit(1_000_000)) / 1e6 < bound[F.col(label)]
+    return rows.select(label, "text").where(part).distinct().withColumn("drawn", drawn), sizes, shares
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import groups_of, small_batches
+from .common import draw_texts, groups_of, small_batches
 
 ORDERS, BITS = (1, 2, 3), 16
 
@@ -54,30 +55,28 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
 def train_language_model(labelled: DataFrame, max_rows: int = 8000, epochs: int = 3) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of ``labelled``; rows without either are left out.
 
-    Document frequencies cover all rows. The classifier is fitted on at most about ``max_rows`` rows, the same number for
-    each language as far as it has them, drawn by hash of the text; a fifth of them calibrates the temperature. Without
-    any labelled row there is no language, and every text gets ``und``. Long texts are used whole.
+    Document frequencies cover all rows. The classifier is fitted on at most about ``max_rows`` distinct pairs of text and
+    language, the same number for each language as far as it has them, drawn by hash of the text; every fifth
+    of a language calibrates the temperature. Without any labelled row there is no language, and every text gets ``und``. Long texts are
+    used whole.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     n, df = document_frequencies(rows)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    sample, sizes, _ = draw_texts(rows, "lang", 17, max_rows)
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], idf, linear.Softmax(np.zeros((1 << BITS, 1), np.float32), np.zeros(1)))
-    share = max_rows / len(languages)
-    drawn = F.xxhash64("text", F.lit(17))
-    bound = F.create_map(*(F.lit(v) for x in languages for v in (x, min(1.0, share / sizes[x]))))
-    part = F.pmod(drawn, F.lit(1_000_000)) / 1e6 < bound[F.col("lang")]
-    sample = rows.where(part).withColumn("drawn", drawn)
     where = {x: i for i, x in enumerate(languages)}
 
     def train(batches):
         got = [r for b in batches for r in zip(b.column("drawn").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True)]
-        data = [(_features(text, idf), where[lang]) for _, lang, text in sorted(got)]
-        held = [x for i, x in enumerate(data) if i % 5 == 0]
-        model = linear.fit([x for i, x in enumerate(data) if i % 5], 1 << BITS, len(languages), epochs)
+        seen, data, held = Counter(), [], []
+        for _, lang, text in sorted(got):
+            seen[lang] += 1
+            (data if seen[lang] % 5 else held).append((_features(text, idf), where[lang]))
+        model = linear.fit(data, 1 << BITS, len(languages), epochs)
         heat = linear.calibrate(model, held)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias.tobytes()], pa.binary()), pa.array([heat])], ["weights", "bias", "heat"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import groups_of, small_batches
+from .common import draw_texts, groups_of, small_batches, written
 
 ORDERS, BITS = (3, 4, 5), 18
 
@@ -59,19 +59,19 @@ def log_count_ratios(rows: DataFrame, smoothing: float = 1.0) -> tuple[np.ndarra
 def train_toxicity_model(labelled: DataFrame, max_rows: int = 8000, epochs: int = 4) -> ToxicityModel:
     """Learn from ``text`` (null: empty) and ``toxic`` (0 or 1) of ``labelled``; rows with another label are left out.
 
-    The ratios count all rows. The classifier is fitted on at most about ``max_rows`` rows, drawn by hash of the text and
-    evenly from both classes; its bias is then moved to the classes' true shares. With one class or none, every text gets
-    score 0 (or 1, where all labels are 1).
+    The ratios count all rows. The classifier is fitted on at most about ``max_rows`` distinct pairs of text and label,
+    drawn by hash of the text and evenly from both classes; its bias is then moved to the classes' true shares of all rows.
+    With one class or none, every text gets score 0 (or 1, where all labels are 1).
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).where("toxic IN (0, 1)")
+    rows = written(rows, "labelled")  # read three times, and most often made by a join of all texts
     ratios, n = log_count_ratios(rows)
     if not n.all():
         bias = np.array([0.0, 50.0 if n[1] else -50.0])
         return ToxicityModel(np.zeros_like(ratios), linear.Softmax(np.zeros((1 << BITS, 2), np.float32), bias))
-    keep = [min(1.0, max_rows / 2 / x) for x in n]
-    drawn = F.xxhash64("text", F.lit(23))
-    part = F.pmod(drawn, F.lit(1_000_000)) / 1e6 < F.when(F.col("toxic") == 1, keep[1]).otherwise(keep[0])
+    sample, sizes, shares = draw_texts(rows, "toxic", 23, max_rows)
+    drawn = np.array([shares[y] * sizes[y] / n[y] for y in (0, 1)])
 
     def train(batches):
         got = [r for b in batches for r in zip(b.column("drawn").to_pylist(), b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True)]
@@ -80,8 +80,8 @@ def train_toxicity_model(labelled: DataFrame, max_rows: int = 8000, epochs: int
         cols = [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.bias)]
         yield pa.RecordBatch.from_arrays(cols, ["weights", "bias"])
 
-    got = rows.where(part).withColumn("drawn", drawn).repartition(1).mapInArrow(train, "weights binary, bias binary").first()
-    bias = np.frombuffer(got["bias"]) - np.log(keep)
+    got = sample.repartition(1).mapInArrow(train, "weights binary, bias binary").first()
+    bias = np.frombuffer(got["bias"]) - np.log(drawn)
     return ToxicityModel(ratios, linear.Softmax(np.frombuffer(got["weights"], np.float32).reshape(1 << BITS, 2), bias))
 
 
