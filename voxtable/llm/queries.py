@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, language, lines, lm, near_duplicates, packing, personal, quality, sql, token_files, toxicity
+from . import common, conversations, decontamination, language, lines, lm, near_duplicates, packing, personal, quality, secrets, spelling, sql, token_files, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,11 +73,10 @@ def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
 def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = personal.find_personal_data(docs, personal.train_span_model(docs))
-    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     sure = F.filter("spans", lambda x: x["sure"])
     number = lambda kind: F.size(F.filter("spans", lambda x: x["sure"] & (x["kind"] == kind))).cast("long")
     counts = [number(kind).alias(f"n_{kind}") for kind in personal.KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(sure), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_spans(sure), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans"))
 
 
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +86,32 @@ def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents"))
+    sure = F.filter("spans", lambda x: x["sure"])
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["sure"] & (x["kind"] == kind))).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(_spans(sure), 256).alias("base_sha256"), _spans(F.col("spans")).alias("spans"))
+
+
+def _spans(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, folder, "documents"), every=31)
+    return spelling.spelling_variants(common.written(words, "words"))
+
+
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversations.damaged(_table(spark, folder, "conversations"))
+    report = common.written(conversations.repair_report(rows), "repairs")
+    digests = conversations.digests(conversations.repaired(rows, report)).withColumnRenamed("conv_id", "id")
+    both = report.join(digests, report["conv_id"].eqNullSafe(digests["id"]), "left").drop("id")
+    return both.withColumn("repaired_sha256", F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256))).drop("sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup,
     "op2_lm_scoring": lm_scoring,
@@ -98,10 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": pack_sequences,
     "op9_personal_data": personal_data,
     "op10_token_ids": token_ids,
+    "op11_spelling_variants": spelling_variants,
+    "op12_conversation_repair": conversation_repair,
+    "op13_secret_scan": secret_scan,
 }
 SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op2_lm_scoring": sql.LM_SCORING,
     "op4_near_duplicates": sql.NEAR_DUPLICATES,
     "op6_quality_rules": sql.QUALITY_RULES,
+    "op11_spelling_variants": sql.SPELLING_VARIANTS,
+    "op12_conversation_repair": sql.CONVERSATION_REPAIR,
 }

@@ -111,3 +111,114 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_capitals > word_chars) AS kept
 FROM f
 """
+
+#: UTF-8 bytes of a text of letters below U+0100, and its CRC-32 by a table of 256 entries that is made by rule.
+_TABLE = """crc_table AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) ORDER BY b) AS t FROM range(256) r(b))"""
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END))"
+
+SPELLING_VARIANTS = rf"""
+WITH {_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents WHERE text IS NOT NULL)
+  GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")}),
+    lambda a, x: xor(t[(xor(a, x) % 256) + 1], a // 256)), 4294967295::BIGINT) AS h FROM runs, crc_table),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+halves AS (
+  SELECT word, n, l, m, side, CASE side WHEN 0 THEN substr(word, 1, m // 2) ELSE substr(word, l - (m - m // 2) + 1) END AS half
+  FROM (SELECT word, n, length(word) AS l, unnest([length(word), length(word) - 1]) AS m FROM words), (SELECT unnest([0, 1]) AS side)),
+pairs AS (
+  SELECT DISTINCT a.word AS a, b.word AS b, a.n AS a_n, b.n AS b_n, a.l AS a_l, b.l AS b_l
+  FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.word <> b.word AND a.l <= b.l AND b.l <= a.l + 1 AND a.l = a.m),
+close AS (
+  SELECT * FROM pairs WHERE len(list_filter(range(1, b_l + 1), lambda i:
+    substr(b, 1, i - 1) || substr(b, i + 1) = CASE WHEN a_l = b_l THEN substr(a, 1, i - 1) || substr(a, i + 1) ELSE a END)) > 0),
+near AS (SELECT DISTINCT * FROM (SELECT a AS word, a_n AS n, b AS other, b_n AS other_n FROM close UNION ALL SELECT b, b_n, a, a_n FROM close)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+best AS (SELECT word, n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM ranked WHERE place = 1),
+formed AS (SELECT w.word, w.n, form, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN best USING (word)),
+steps AS (
+  SELECT f1.word, coalesce(f6.form, f5.form, f4.form, f3.form, f2.form, f1.form, f1.word) AS root FROM formed f1
+  LEFT JOIN formed f2 ON f2.word = f1.form LEFT JOIN formed f3 ON f3.word = f2.form LEFT JOIN formed f4 ON f4.word = f3.form
+  LEFT JOIN formed f5 ON f5.word = f4.form LEFT JOIN formed f6 ON f6.word = f5.form)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN steps USING (word)
+"""
+
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_PLUS = "CASE WHEN {1} IS NOT NULL THEN {{'c': {1}.c + {0}, 'a': {2} || {1}.a}} END"
+
+
+def _least(*choices: str) -> str:
+    return f"list_min(list_filter([{', '.join(choices)}], lambda x: x IS NOT NULL))"
+
+
+def _state(state: int, kept: str) -> str:
+    """Cheapest edits at a row from a state on, before any insertion; ``kept``: when the row may stay, and the state then."""
+    after = (2, 2, 3, 2)[state]
+    return _least(
+        _PLUS.format(2, f"f{state}", "'D'"),
+        f"CASE WHEN stays THEN {_PLUS.format('1 + late', f'f{after}', chr(39) + 'R' + chr(39))} END",
+        *(f"CASE WHEN stays AND c = '{c}' THEN {_PLUS.format('late', f'f{to}', chr(39) + 'K' + chr(39))} END" for c, to in (x.split(">") for x in kept.split())),
+    )
+
+
+def _insert(state: int) -> str:
+    once = (2, 2, 3, 2)[state]
+    twice = (2, 2, 3, 2)[once]
+    return _least(f"b{state}", _PLUS.format(5, f"b{once}", "'I'"), _PLUS.format(10, f"b{twice}", "'II'"))
+
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE {_TABLE},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_KEY} AS k FROM conversations),
+source AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES.format("k")}), lambda a, x: xor(t[(xor(a, x) % 256) + 1], a // 256)), 4294967295::BIGINT) % 20 AS f
+  FROM keyed, crc_table),
+d AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM source WHERE f <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS e
+  FROM d),
+s AS (
+  SELECT conv_id, turn, i, role, text, left(role, 1) AS c, e = '' AS blank, e <> '' AND seen AS duplicate,
+    e <> '' AND NOT seen AND right(e, 1) NOT IN ('.', '!', '?') AS truncated,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two
+  FROM o),
+counted AS (
+  SELECT conv_id, count(*) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM s GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, rows_ AS i, {{'c': 0::BIGINT, 'a': ''}} AS f0, {{'c': 10::BIGINT, 'a': 'II'}} AS f1, {{'c': 5::BIGINT, 'a': 'I'}} AS f2, {{'c': 0::BIGINT, 'a': ''}} AS f3 FROM counted
+  UNION ALL
+  SELECT conv_id, i - 1, {_insert(0)}, {_insert(1)}, {_insert(2)}, {_insert(3)} FROM (
+    SELECT conv_id, i, {_state(0, "s>1 u>2")} AS b0, {_state(1, "u>2")} AS b1, {_state(2, "a>3")} AS b2, {_state(3, "u>2")} AS b3 FROM (
+      SELECT steps.*, s.c, NOT blank AND NOT duplicate AS stays, 5 * truncated::BIGINT AS late
+      FROM steps JOIN s ON steps.conv_id IS NOT DISTINCT FROM s.conv_id AND steps.i = s.i))),
+solved AS (SELECT conv_id, f0.c AS cost, f0.a AS audit FROM steps WHERE i = 0),
+edits AS (
+  SELECT conv_id, j, ops[j] AS op, len(list_filter(ops[1:j], lambda x: x <> 'I')) AS i, len(list_filter(ops[1:j], lambda x: x <> 'D')) - 1 AS position
+  FROM (SELECT conv_id, string_split(audit, '') AS ops, unnest(range(1, length(audit) + 1)) AS j FROM solved)),
+lines AS (
+  SELECT x.conv_id, j, position, CASE op WHEN 'K' THEN s.role END AS own, CASE op WHEN 'I' THEN '' ELSE s.text END AS text,
+    max(CASE WHEN op = 'K' AND position = 0 AND s.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS shift
+  FROM edits x LEFT JOIN s ON x.conv_id IS NOT DISTINCT FROM s.conv_id AND x.i = s.i WHERE op <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(coalesce(own, CASE WHEN (position - shift) % 2 = 0 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS body
+  FROM lines GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN solved c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON a.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
