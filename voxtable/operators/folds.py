@@ -54,9 +54,14 @@ def resolve_overlaps(segments: DataFrame, min_sec: float = 0.2, chunk_sec: float
         )
         return state, done
 
+    def masked(last: Column, first: Column) -> Column:
+        # a cut lies at the middle of an overlap, which no later row can move before the state's start, unless it begins there
+        near = last["start_sec"] + 0.05 > first["start_sec"]
+        return _seg(F.lit(None), last["speaker"], F.when(near, last["start_sec"]), last["end_sec"])
+
     out = fold(
         segments, by_time(chunk_sec=chunk_sec), ["pos", "speaker", "start_sec", "end_sec"],
-        SEGMENT, SEGMENT, step, lambda last: F.array(last),
+        SEGMENT, SEGMENT, step, lambda last: F.array(last), masked, ["pos", "start_sec"],
     )
     return out.filter(F.col("end_sec") - F.col("start_sec") >= min_sec)
 
@@ -96,11 +101,24 @@ def pack_windows(
         )
         return state, done
 
+    def ends(rows: Column) -> Column:
+        """All windows that may be open after the last row: begun by a row near enough to it, or left behind by a long one."""
+        near = F.filter(
+            F.transform(rows, lambda r, i: F.struct(i.alias("i"), r["start_sec"].alias("a"), r["end_sec"].alias("b"))),
+            lambda r: (r["a"] > F.element_at(rows, -1)["start_sec"] - max_sec) | (r["b"] - r["a"] > max_sec),
+        )
+        reach = lambda r: F.array_max(F.transform(F.slice(rows, r["i"] + 1, F.size(rows)), lambda x: x["end_sec"]))
+        begun = F.transform(near, lambda r: make(r["a"], reach(r)))
+        behind = F.transform(F.filter(near, lambda r: r["b"] - r["a"] > max_sec), lambda r: make(r["b"], reach(r)))
+        return F.concat(begun, behind)
+
     return fold(
-        segments, by_time(chunk_sec=chunk_sec), ["start_sec", "end_sec"], window, window, step, full
+        segments, by_time(chunk_sec=chunk_sec), ["start_sec", "end_sec"], window, window, step, full, seeds=ends
     )
 
 
+#: A state of which only the text counts.
+TEXT = "struct<text:string>"
 PHRASE = "struct<pos:bigint,text:string,start_sec:double,end_sec:double>"
 
 
@@ -140,9 +158,12 @@ def dedupe_phrases(phrases: DataFrame, slack: float = 0.5, chunk_rows: int = CHU
         )
         return both["state"], both["done"]
 
+    def masked(last: Column, first: Column) -> Column:
+        return make(F.lit(None), last["text"], F.lit(None).cast("double"), last["end_sec"])
+
     return fold(
         keyed, by_position(chunk_rows=chunk_rows), ["pos", "text", "start_sec", "end_sec"],
-        PHRASE, PHRASE, step, lambda last: F.array(last),
+        PHRASE, PHRASE, step, lambda last: F.array(last), masked, ["pos", "start_sec"],
     )
 
 
@@ -158,7 +179,7 @@ def stitch_chunks(chunks: DataFrame, longest: int = 16, chunk_rows: int = CHUNK_
         both = let(
             added,
             lambda t: F.struct(
-                F.when(t != "", F.struct(row["pos"].cast("long").alias("pos"), t.alias("text"))).otherwise(last).alias("state"),
+                F.when(t != "", F.struct(t.alias("text"))).otherwise(last).alias("state"),
                 F.when(t != "", F.array(F.struct(row["pos"].cast("long").alias("pos"), t.alias("text"))))
                 .otherwise(_none(piece)).alias("done"),
             ),
@@ -166,7 +187,7 @@ def stitch_chunks(chunks: DataFrame, longest: int = 16, chunk_rows: int = CHUNK_
         return both["state"], both["done"]
 
     return fold(
-        usable, by_position(chunk_rows=chunk_rows), ["pos", "text"], piece, piece, step, lambda last: _none(piece)
+        usable, by_position(chunk_rows=chunk_rows), ["pos", "text"], TEXT, piece, step, lambda last: _none(piece)
     )
 
 
@@ -182,11 +203,11 @@ def drop_near_repeats(
         both = let(
             last.isNotNull() & (similarity(last["text"], row["text"]) >= threshold),
             lambda again: F.struct(
-                F.when(again, last).otherwise(me).alias("state"),
+                F.when(again, last).otherwise(F.struct(row["text"].alias("text"))).alias("state"),
                 F.when(again, _none(item)).otherwise(F.array(me)).alias("done"),
             ),
         )
         return both["state"], both["done"]
 
-    kept = fold(rows, by_position(chunk_rows=chunk_rows), ["pos", "text"], item, item, step, lambda last: _none(item))
+    kept = fold(rows, by_position(chunk_rows=chunk_rows), ["pos", "text"], TEXT, item, step, lambda last: _none(item))
     return kept

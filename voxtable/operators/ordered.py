@@ -23,9 +23,12 @@ import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 CHUNK = "__chunk"
 CHUNK_SEC = 600.0
 CHUNK_ROWS = 4096
@@ -270,55 +273,78 @@ def fold(
     emitted: str,
     step: Callable[[Column, Column], tuple[Column, Column]],
     finish: Callable[[Column], Column],
+    masked: Callable[[Column, Column], Column] | None = None,
+    carried: Sequence[str] = (),
+    seeds: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Run a state machine over each key in order and return what it emits, one row each.
 
-    ``step(state, row)`` gives the next state (SQL type ``state``) and an array of
-    finished items (element type ``emitted``); ``finish(state)`` gives the items
-    left in the last state.  Every chunk is run on its own first.  A chunk is run
-    again with the state its left neighbour really ended in, until no chunk's
-    incoming state changes: the result is that of the sequential machine, while a
-    task never holds more than one chunk.  Rounds read the chunks that are run again
-    and write one state per chunk; what is emitted is computed once, at the end.
+    ``step(state, row)`` gives the next state (SQL type ``state``, a struct) and an array of finished items (element type
+    ``emitted``); ``finish(state)`` gives the items left in the last state.
+
+    Every chunk is run from no state first, and keeps a table of tries: the state it was entered with, and the one it
+    ended in. Then the true states are followed along the chunk tables, which reads one row a chunk. A chunk that is
+    entered with a state it was not yet run from is run again; all such chunks at once, the ones behind it on the guess
+    that it ends as it did from no state. The result is that of the sequential machine, and a task never holds more rows
+    than one chunk. What keeps the number of rounds small, whatever the number of chunks:
+
+    * an entering state that the chunk's first row makes the machine forget counts as none;
+    * only what later rows can see of a state is compared: ``masked(state, first row)`` leaves the rest null. The fields
+      in ``carried`` pass through unseen; where they are null in the state a chunk ends in, they are those it was entered
+      with. So a state that passes many chunks is the same to all of them;
+    * ``seeds(items)`` lists all states a chunk may end in, for machines whose state always differs by where they began.
+      When the next chunk has to be run again, it is run from each of them that it does not forget.
     """
-    tagged = tl.tag(df)
     names = list(dict.fromkeys([*tl.order, *fields]))
-    items = tagged.groupBy(*tl.ids).agg(
-        F.array_sort(F.collect_list(F.struct(*names))).alias("__items")
-    )
-    nothing = F.lit(None).cast(state)
+    none = F.lit(None).cast(state)
 
     def machine(incoming: Column) -> Column:
-        start = F.struct(
-            incoming.alias("state"), F.array().cast(f"array<{emitted}>").alias("out")
-        )
+        start = F.struct(incoming.alias("state"), F.array().cast(f"array<{emitted}>").alias("out"))
 
         def advance(acc: Column, row: Column) -> Column:
             after, done = step(acc["state"], row)
-            return F.struct(
-                after.cast(state).alias("state"),
-                F.concat(acc["out"], done.cast(f"array<{emitted}>")).alias("out"),
-            )
+            return F.struct(after.cast(state).alias("state"), F.concat(acc["out"], done.cast(f"array<{emitted}>")).alias("out"))
 
         return F.aggregate("__items", start, advance)
 
     def last_state(incoming: Column) -> Column:
         return F.aggregate("__items", incoming, lambda acc, row: step(acc, row)[0].cast(state))
 
-    # one row per chunk with the state it was run from and the state it ends in; the rows stay where they are
+    def entered(by: Column, first: Column) -> Column:
+        """What a chunk with this first row sees of the state it is entered with."""
+        forgotten = step(by, first)[0].cast(state).eqNullSafe(step(none, first)[0].cast(state))
+        return F.when(~forgotten, by if masked is None else masked(by, first).cast(state))
+
+    def tried(seen: Column) -> Column:
+        """A chunk's run from a state: that state, the one it ends in, and what the next chunk sees of that."""
+        next_seen = lambda out: F.when(F.col("__next").isNotNull(), entered(out, F.col("__next")))
+        return let(last_state(seen), lambda out: F.struct(seen.alias("seen"), out.alias("out"), next_seen(out).alias("next")))
+
+    items = tl.tag(df).groupBy(*tl.ids).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__items"))
     items = durable(items)
-    ends = durable(items.select(*tl.ids, nothing.alias("__in"), last_state(nothing).alias("__out")))
+    edges = items.select(*tl.ids, F.element_at("__items", 1).alias("__first"), *([] if seeds is None else [seeds(F.col("__items")).cast(f"array<{state}>").alias("__ends")]))
+    sides = [F.lead("__first").over(tl.chunks).alias("__next")]
+    if seeds is not None:
+        sides.append(F.lag("__ends").over(tl.chunks).alias("__seeds"))
+    edges = edges.select(*tl.ids, *sides)
+    held = durable(_with(items, tl, edges, [c for c in edges.columns if c not in tl.ids]))
+    tries = durable(held.select(*tl.ids, F.array(tried(none)).alias("__tries")))
+    schema = df.schema
     while True:
-        told = ends.withColumn("__left", F.lag("__out").over(tl.chunks))
-        stale = ~F.col("__left").eqNullSafe(F.col("__in"))
-        if told.filter(stale).isEmpty():
+        told = durable(_follow(tries, tl, schema, state, carried))
+        unknown = told.filter(~F.col("__known"))
+        if unknown.isEmpty():
             break
-        again = _with(items, tl, told.filter(stale), ["__left"]).select(
-            *tl.ids, F.col("__left").alias("__in"), last_state(F.col("__left")).alias("__out")
-        )
-        ends = durable(told.filter(~stale).select(*tl.ids, "__in", "__out").unionByName(again))
-    ends = ends.withColumn("__rest", F.lead(CHUNK).over(tl.chunks).isNull())
-    done = _with(items, tl, ends, ["__in", "__rest"]).withColumn("__run", machine(F.col("__in")))
+        runs_ = F.array(tried(F.col("__seen")))
+        if seeds is not None:
+            others = F.array_distinct(F.filter(F.transform("__seeds", lambda x: entered(x, F.element_at("__items", 1))), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("__seen"))))
+            runs_ = F.concat(runs_, F.transform(F.coalesce(others, F.array().cast(f"array<{state}>")), tried))
+        again = _with(held, tl, unknown, ["__seen"]).select(*tl.ids, runs_.alias("__more"))
+        again = again.select(*[F.col(c).alias(f"__of_{c}") for c in tl.ids], "__more")
+        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in tl.ids]
+        more = F.concat("__tries", F.coalesce("__more", F.array_repeat(F.element_at("__tries", 1), 0)))
+        tries = durable(tries.join(again, same, "left").select(*tl.ids, more.alias("__tries")))
+    done = _with(items, tl, told, ["__in", "__rest"]).withColumn("__run", machine(F.col("__in")))
     tail = F.when(
         F.col("__rest") & F.col("__run.state").isNotNull(),
         finish(F.col("__run.state")).cast(f"array<{emitted}>"),
@@ -329,6 +355,49 @@ def fold(
     return done.select(*tl.key, "__item.*")
 
 
+def _follow(tries: DataFrame, tl: Timeline, schema, state: str, carried: Sequence[str]) -> DataFrame:
+    """The state each chunk is entered with (``__in``), what it sees of it, whether it was run from that, and whether it is the last.
+
+    The chunk tables of a key are read in order, as a stream of one row a chunk.
+    """
+    order = [*tl.key, CHUNK]
+    ordered = (tries.repartition(*tl.key) if tl.key else tries.repartition(1)).sortWithinPartitions(*order)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tries.schema.fields if f.name != "__tries"]
+
+    def follow(batches):
+        key = now = seen = held = None
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in tries_ids]
+            struct = b.schema.field("__tries").type.value_type.field("out").type
+            out = []
+            for *ids, some in zip(*(b.column(c).to_pylist() for c in (*tries_ids, "__tries")), strict=True):
+                if held is None or ids[:-1] != key:
+                    if held is not None:
+                        out.append((*held, True))
+                    key, now, seen = ids[:-1], None, None
+                else:
+                    out.append((*held, False))
+                known = next((x for x in some if x["seen"] == seen), None)
+                held = (*ids, now, seen, known is not None)
+                taken = known or some[0]
+                after = taken["out"]
+                if after is not None and now is not None and known is not None:
+                    after = after | {c: now[c] for c in carried if after[c] is None}
+                now, seen = after, taken["next"]
+            yield _batch(out, kinds, struct)
+        if held is not None:
+            yield _batch([(*held, True)], kinds, struct)
+
+    def _batch(rows, kinds, struct):
+        columns = list(zip(*rows, strict=True)) or [[] for _ in range(len(kinds) + 4)]
+        types = [*kinds, struct, struct, pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [*tries_ids, "__in", "__seen", "__known", "__rest"])
+
+    tries_ids = tl.ids
+    ordered = ordered.select(*tries_ids, "__tries")
+    return ordered.mapInArrow(follow, ", ".join([*fields, f"__in {state}", f"__seen {state}", "__known boolean", "__rest boolean"]))
+
+
 def _with(items: DataFrame, tl: Timeline, per_chunk: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Chunks with columns of a table of one row per chunk; a null key meets a null key."""
     named = per_chunk.select(*[F.col(c).alias(f"__of_{c}") for c in tl.ids], *columns)
