@@ -107,7 +107,7 @@ def number_speakers(rows: DataFrame, order: Sequence[str] = ("pos",), speaker: s
     first = rows.groupBy(ID, speaker).agg(F.min(F.struct(*order)).alias("__first"))
     rank = F.dense_rank().over(Window.partitionBy(ID).orderBy("__first"))
     names = first.select(ID, speaker, F.concat(F.lit("Speaker "), rank.cast("string")).alias("__name"))
-    out = rows.join(names, [ID, speaker])
+    out = attach(rows, names, (ID, speaker))
     return out.select(*[F.col("__name").alias(c) if c == speaker else F.col(c) for c in rows.columns])
 
 
@@ -175,36 +175,42 @@ def smooth_switches(words: DataFrame, min_sec: float = 0.3, chunk_rows: int = CH
     away: in a streak of adjacent candidates those at odd places change.
     """
     tl = by_position(chunk_rows=chunk_rows)
-    word_runs = durable(runs(words, tl, lambda p, c: ~p("speaker").eqNullSafe(c("speaker")), ["speaker"]))
+    word_runs = runs(words, tl, lambda p, c: ~p("speaker").eqNullSafe(c("speaker")), ["speaker"])
     run = word_runs.groupBy(ID, "run").agg(
         F.first("speaker").alias("speaker"),
         F.min_by("start_sec", "pos").alias("start_sec"),
         F.max_by("end_sec", "pos").alias("end_sec"),
     )
     line = by_position("run", chunk_rows=chunk_rows)
-    run = carry(
-        run,
-        line,
-        {"left": ("lag", F.col("speaker")), "right": ("next", F.struct("speaker"))},
-    )
     candidate = (
         (F.col("end_sec") - F.col("start_sec") < min_sec)
         & F.col("left").isNotNull()
         & (F.col("left") != "")
         & F.col("left").eqNullSafe(F.col("right.speaker"))
     )
-    run = run.withColumn("candidate", F.coalesce(candidate, F.lit(False)))
-    run = carry(run, line, {"stop": ("last", F.when(~F.col("candidate"), F.col("run")))})
+    run = carry(
+        run,
+        line,
+        {"left": ("lag", F.col("speaker")), "right": ("next", F.struct("speaker"))},
+        {"candidate": F.coalesce(candidate, F.lit(False)), "stop": ("last", F.when(~F.col("candidate"), F.col("run")))},
+    )
     place = F.col("run") - F.coalesce("stop", F.lit(0))
     run = run.select(
         ID, "run", F.when(F.col("candidate") & (place % 2 == 1), F.col("left")).alias("__new")
     )
-    out = word_runs.join(run, [ID, "run"])
+    out = attach(word_runs, run, (ID, "run"))
     return out.select(
         *[F.coalesce("__new", "speaker").alias(c) if c == "speaker" else F.col(c) for c in words.columns]
     )
 
 
+def fillable(run: DataFrame, longest: Column) -> DataFrame:
+    """A table of runs (``recording_id, run, len``) with ``__fill``: short, and neither the first nor the last of the recording."""
+    ends = run.groupBy(ID).agg(F.max("run").alias("__last"))
+    fill = (F.col("len") <= longest) & (F.col("run") > 1) & (F.col("run") < F.col("__last"))
+    return attach(run, ends).withColumn("__fill", fill).drop("__last")
+
+
 def fill_holes(frames: DataFrame, longest: int | Column, chunk_rows: int = 65536) -> DataFrame:
     """Turn inner non-speech runs of at most ``longest`` frames into speech.
 
@@ -212,12 +218,9 @@ def fill_holes(frames: DataFrame, longest: int | Column, chunk_rows: int = 65536
     """
     longest = longest if isinstance(longest, Column) else F.lit(longest)
     tl = by_position("frame_idx", chunk_rows=chunk_rows)
-    tagged = durable(runs(frames, tl, lambda p, c: p("speech") != c("speech"), ["speech"]))
-    run = tagged.groupBy(ID, "run").agg(F.count("*").alias("__len"), F.max(longest).alias("__most"))
-    ends = run.groupBy(ID).agg(F.max("run").alias("__last"))
-    run = attach(run, ends)
-    fill = (F.col("__len") <= F.col("__most")) & (F.col("run") > 1) & (F.col("run") < F.col("__last"))
-    out = tagged.join(run.select(ID, "run", fill.alias("__fill")), [ID, "run"])
+    tagged = runs(frames, tl, lambda p, c: p("speech") != c("speech"), ["speech"])
+    run = tagged.groupBy(ID, "run").agg(F.count("*").alias("len"), F.max(longest).alias("__most"))
+    out = attach(tagged, fillable(run, F.col("__most")).select(ID, "run", "__fill"), (ID, "run"))
     return out.select(
         *[(F.col("speech") | F.col("__fill")).alias(c) if c == "speech" else F.col(c) for c in frames.columns]
     )

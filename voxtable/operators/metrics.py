@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Timeline, carry
+from .ordered import Timeline, attach, carry
 
 
 def class_counts(pred: DataFrame, n_classes: int | None = None) -> DataFrame:
@@ -109,11 +109,14 @@ def best_epoch(history: DataFrame, patience: int, chunk_rows: int = 4096) -> Dat
     """
     tl = Timeline(("epoch",), F.floor(F.col("epoch") / chunk_rows), ("run",))
     score = F.struct("accuracy", "macro_f1")
-    seen = carry(history, tl, {"nth": ("sum", F.lit(1).cast("long")), "top": ("max_before", score)})
-    seen = seen.withColumn("improved", F.col("top").isNull() | (score > F.col("top")))
-    seen = carry(seen, tl, {"last": ("last", F.when(F.col("improved"), F.col("nth")))})
+    seen = carry(
+        history,
+        tl,
+        {"nth": ("sum", F.lit(1).cast("long")), "top": ("max_before", score)},
+        {"improved": F.col("top").isNull() | (score > F.col("top")), "last": ("last", F.when(F.col("improved"), F.col("nth")))},
+    )
     stop = seen.filter(F.col("nth") - F.col("last") >= patience).groupBy("run").agg(F.min("nth").alias("stop"))
-    run = seen.join(stop, "run", "left").filter(F.col("stop").isNull() | (F.col("nth") <= F.col("stop")))
+    run = attach(seen, stop, ("run",)).filter(F.col("stop").isNull() | (F.col("nth") <= F.col("stop")))
     return run.groupBy("run").agg(
         F.max_by(F.struct("epoch", "accuracy", "macro_f1"), F.when(F.col("improved"), F.col("nth"))).alias("b"),
         F.max("epoch").alias("last_epoch"),

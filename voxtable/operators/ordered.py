@@ -7,7 +7,7 @@ key into *chunks* along its order (an hour of audio, a block of turns, ...), run
 the window inside ``(key, chunk)`` and carry the small state between chunks
 through a table with one row per chunk:
 
-* :func:`carry`    running sum / max / last / next value
+* :func:`carry`    running sum / max / last / next value, in dependent steps
 * :func:`number`   row number
 * :func:`runs`     gaps and islands whose break looks at the previous row
 * :func:`spans`    union of intervals with a gap tolerance
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 
-CHUNK = "__chunk"
+KEY, CHUNK = "__key", "__chunk"
 CHUNK_SEC = 600.0
 CHUNK_ROWS = 4096
 
@@ -43,17 +43,26 @@ class Timeline:
     key: Sequence[str] = field(default=("recording_id",))
 
     def tag(self, df: DataFrame) -> DataFrame:
-        """The rows with their chunk, dealt out by key and chunk.
+        """The rows with their key and chunk, dealt out by both.
+
+        The key columns go into one struct, which is never null and equal to itself where a key column is null, so rows
+        without a key stay together in every join on it and are a key of their own.
 
         Rows that a join has dealt out by the key alone would count as dealt out by key and chunk as well, and a whole
         key would stay in one task; hence the explicit repartition.
         """
-        tagged = df.withColumn(CHUNK, F.coalesce(self.chunk.cast("long"), F.lit(-(2**62))))
+        whole = F.struct(*self.key) if self.key else F.lit(0)
+        tagged = df.withColumns({KEY: whole, CHUNK: F.coalesce(self.chunk.cast("long"), F.lit(-(2**62)))})
         return tagged.repartition(*self.ids)
 
+    @property
+    def key_columns(self) -> list[Column]:
+        """The key columns out of the struct."""
+        return [F.col(KEY)[c].alias(c) for c in self.key]
+
     @property
     def ids(self) -> list[str]:
-        return [*self.key, CHUNK]
+        return [KEY, CHUNK]
 
     @property
     def rows(self):
@@ -61,7 +70,7 @@ class Timeline:
 
     @property
     def chunks(self):
-        return Window.partitionBy(*self.key).orderBy(CHUNK)
+        return Window.partitionBy(KEY).orderBy(CHUNK)
 
     @property
     def sort_key(self) -> Column:
@@ -112,15 +121,28 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return configured or tempfile.mkdtemp(prefix="voxtable-checkpoint-")
 
 
-def carry(df: DataFrame, tl: Timeline, specs: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Running values over the whole key; ``specs`` maps output name to (kind, column).
+def carry(df: DataFrame, tl: Timeline, *steps: dict[str, tuple[str, Column] | Column]) -> DataFrame:
+    """Running values over the whole key; a step maps output name to (kind, column).
 
     Kinds: ``sum`` and ``max`` over the rows up to and including this one,
     ``sum_before`` / ``max_before`` over the rows before it, ``last`` the newest
     non-null value up to this row, ``last_before`` the newest before it, ``lag``
     the previous row's value, ``next`` the first non-null value after this row.
+    A plain column in a step is added first. Later steps may use what earlier ones
+    gave; the rows are dealt out once for all of them.
     """
-    tagged = tl.tag(df)
+    out, names = tl.tag(df), list(df.columns)
+    for step in steps:
+        plain = {n: c for n, c in step.items() if isinstance(c, Column)}
+        specs = {n: c for n, c in step.items() if n not in plain}
+        names = [n for n in names if n not in step]
+        out = _carried(out.withColumns(plain), tl, [*names, *plain], specs)
+        names += step
+    return out.select(*names)
+
+
+def _carried(tagged: DataFrame, tl: Timeline, kept: Sequence[str], specs: dict[str, tuple[str, Column]]) -> DataFrame:
+    """One step of ``carry`` on rows that are dealt out already, which stay so."""
     for name, (_, column) in specs.items():
         tagged = tagged.withColumn(f"__in_{name}", column)
 
@@ -173,7 +195,7 @@ def carry(df: DataFrame, tl: Timeline, specs: dict[str, tuple[str, Column]]) ->
     )
     out = tagged.withColumns({f"__loc_{n}": c for n, c in local.items()})
     out = out.join(chunk_table, tl.ids)
-    return out.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
+    return out.select(*kept, *tl.ids, *[c.alias(n) for n, c in merged.items()])
 
 
 def number(df: DataFrame, tl: Timeline, out: str = "row_no") -> DataFrame:
@@ -327,11 +349,10 @@ def fold(
     if seeds is not None:
         sides.append(F.lag("__ends").over(tl.chunks).alias("__seeds"))
     edges = edges.select(*tl.ids, *sides)
-    held = durable(_with(items, tl, edges, [c for c in edges.columns if c not in tl.ids]))
+    held = durable(items.join(edges, tl.ids))
     tries = durable(held.select(*tl.ids, F.array(tried(none)).alias("__tries")))
-    schema = df.schema
     while True:
-        told = durable(_follow(tries, tl, schema, state, carried))
+        told = durable(_follow(tries, tl, state, carried))
         unknown = told.filter(~F.col("__known"))
         if unknown.isEmpty():
             break
@@ -339,29 +360,24 @@ def fold(
         if seeds is not None:
             others = F.array_distinct(F.filter(F.transform("__seeds", lambda x: entered(x, F.element_at("__items", 1))), lambda x: x.isNotNull() & ~x.eqNullSafe(F.col("__seen"))))
             runs_ = F.concat(runs_, F.transform(F.coalesce(others, F.array().cast(f"array<{state}>")), tried))
-        again = _with(held, tl, unknown, ["__seen"]).select(*tl.ids, runs_.alias("__more"))
-        again = again.select(*[F.col(c).alias(f"__of_{c}") for c in tl.ids], "__more")
-        same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in tl.ids]
+        again = held.join(unknown.select(*tl.ids, "__seen"), tl.ids).select(*tl.ids, runs_.alias("__more"))
         more = F.concat("__tries", F.coalesce("__more", F.array_repeat(F.element_at("__tries", 1), 0)))
-        tries = durable(tries.join(again, same, "left").select(*tl.ids, more.alias("__tries")))
-    done = _with(items, tl, told, ["__in", "__rest"]).withColumn("__run", machine(F.col("__in")))
+        tries = durable(tries.join(again, tl.ids, "left").select(*tl.ids, more.alias("__tries")))
+    done = items.join(told.select(*tl.ids, "__in", "__rest"), tl.ids).withColumn("__run", machine(F.col("__in")))
     tail = F.when(
         F.col("__rest") & F.col("__run.state").isNotNull(),
         finish(F.col("__run.state")).cast(f"array<{emitted}>"),
     ).otherwise(F.array().cast(f"array<{emitted}>"))
-    done = done.select(
-        *tl.key, F.explode(F.concat(F.col("__run.out"), tail)).alias("__item")
-    )
+    done = done.select(*tl.key_columns, F.explode(F.concat(F.col("__run.out"), tail)).alias("__item"))
     return done.select(*tl.key, "__item.*")
 
 
-def _follow(tries: DataFrame, tl: Timeline, schema, state: str, carried: Sequence[str]) -> DataFrame:
+def _follow(tries: DataFrame, tl: Timeline, state: str, carried: Sequence[str]) -> DataFrame:
     """The state each chunk is entered with (``__in``), what it sees of it, whether it was run from that, and whether it is the last.
 
     The chunk tables of a key are read in order, as a stream of one row a chunk.
     """
-    order = [*tl.key, CHUNK]
-    ordered = (tries.repartition(*tl.key) if tl.key else tries.repartition(1)).sortWithinPartitions(*order)
+    ordered = tries.repartition(KEY).sortWithinPartitions(*tl.ids)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tries.schema.fields if f.name != "__tries"]
 
     def follow(batches):
@@ -398,13 +414,6 @@ def _follow(tries: DataFrame, tl: Timeline, schema, state: str, carried: Sequenc
     return ordered.mapInArrow(follow, ", ".join([*fields, f"__in {state}", f"__seen {state}", "__known boolean", "__rest boolean"]))
 
 
-def _with(items: DataFrame, tl: Timeline, per_chunk: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Chunks with columns of a table of one row per chunk; a null key meets a null key."""
-    named = per_chunk.select(*[F.col(c).alias(f"__of_{c}") for c in tl.ids], *columns)
-    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in tl.ids]
-    return items.join(named, same).drop(*[f"__of_{c}" for c in tl.ids])
-
-
 def join_text(
     df: DataFrame, tl: Timeline, texts: dict[str, tuple[Column, str]], extra: Sequence[Column] = ()
 ) -> DataFrame:
@@ -441,9 +450,14 @@ def join_text(
             "last": F.max_by(name, F.when(F.col(name).isNotNull(), F.col(CHUNK))),
         }[kind]
         rest.append(merge.alias(name))
-    return chunked.groupBy(*tl.key).agg(*second, *rest)
+    whole = chunked.groupBy(KEY).agg(*second, *rest)
+    return whole.select(*tl.key_columns, *[c for c in whole.columns if c != KEY])
 
 
-def attach(df: DataFrame, per_key: DataFrame, key: Sequence[str] = ("recording_id",)) -> DataFrame:
-    """Put per-key values on the rows; a join, so that adaptive skew handling can split a hot key."""
-    return df.join(per_key, list(key), "left")
+def attach(df: DataFrame, per_key: DataFrame, key: Sequence[str] = ("recording_id",), how: str = "left") -> DataFrame:
+    """Put per-key values on the rows; a join, so that adaptive skew handling can split a hot key.
+
+    Keys are compared as structs: a null key meets a null key.
+    """
+    named = per_key.select(F.struct(*key).alias("__of"), *[c for c in per_key.columns if c not in key])
+    return df.join(named, F.struct(*[df[c] for c in key]) == named["__of"], how).drop("__of")

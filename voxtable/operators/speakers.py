@@ -24,7 +24,7 @@ def talk_stats(turns: DataFrame) -> DataFrame:
     )
     total = who.groupBy(ID).agg(F.sum("talk_sec").alias("__total"))
     share = F.when(F.col("__total") > 0, F.col("talk_sec") / F.col("__total"))
-    return who.join(total, ID).select(ID, "speaker", "talk_sec", "n_turns", "first_turn", share.alias("share"))
+    return attach(who, total).select(ID, "speaker", "talk_sec", "n_turns", "first_turn", share.alias("share"))
 
 
 def _balance(turns: DataFrame) -> DataFrame:
@@ -223,16 +223,16 @@ def dialogue_speakers(
     cue = inside & (F.col("addresses_a") | F.col("addresses_b") | F.col("self_a") | F.col("self_b"))
     said = said.withColumn("fixed", fixed).withColumn("cue", cue)
     tl = by_position(chunk_rows=chunk_rows)
-    said = carry(said, tl, {"active": ("max", F.col("cue"))})
     turnover = (
         F.col("fixed").isNull() & F.col("active") & ~F.col("follow_up") & (F.col("pos") > F.col("first_pos"))
     )
-    said = durable(carry(said, tl, {"flips": ("sum", turnover.cast("long"))}))
     anchor = F.when(
         F.col("fixed").isNotNull() | ~F.col("active"),
         F.struct(F.coalesce("fixed", F.lit(0)).alias("who"), F.col("flips").alias("at")),
     )
-    said = carry(said, tl, {"anchor": ("last", anchor)})
+    said = carry(
+        said, tl, {"active": ("max", F.col("cue"))}, {"flips": ("sum", turnover.cast("long"))}, {"anchor": ("last", anchor)}
+    )
     who = (F.coalesce(F.col("anchor.who"), F.lit(0)) + F.col("flips") - F.coalesce(F.col("anchor.at"), F.lit(0))) % 2
     named = said.select(
         ID, F.col("pos").alias("turn"), F.concat(F.lit("Speaker "), (who + 1).cast("string")).alias("speaker"),

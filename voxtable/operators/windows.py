@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.signal import rms
 from .intervals import overlap_pairs
-from .islands import ID, fill_holes
+from .islands import ID, fillable
 from .ordered import Timeline, attach, by_position, carry, durable, runs, spans
 
 FRAME_SEC, HOP_SEC = 0.025, 0.010
@@ -88,14 +88,19 @@ def speech_regions(
         F.greatest(F.lit(1), F.floor(lit(min_speech) * 1000.0 / (HOP_SEC * 1000)).cast("int")).alias("speech_frames"),
         F.greatest(F.lit(1), F.floor(lit(min_silence) * 1000.0 / (HOP_SEC * 1000)).cast("int")).alias("silence_frames"),
     )
-    per_rec = limits.join(noise_threshold(frames), ID)
-    loud = attach(frames, per_rec).filter("threshold is not null")
-    loud = durable(loud.withColumn("speech", F.col("rms") >= F.col("threshold")))
-    closed = fill_holes(loud, F.col("silence_frames"), chunk_rows)
-    closed = durable(closed)
-    tagged = runs(closed, by_position("frame_idx", chunk_rows=chunk_rows), lambda p, c: p("speech") != c("speech"), ["speech"])
-    region = tagged.filter("speech").groupBy(ID, "run").agg(
-        F.count("*").alias("len"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"),
+    loud = attach(frames, noise_threshold(frames)).filter("threshold is not null")
+    loud = loud.select(ID, "frame_idx", (F.col("rms") >= F.col("threshold")).alias("speech"))
+    changes = lambda p, c: p("speech") != c("speech")
+    run = runs(loud, by_position("frame_idx", chunk_rows=chunk_rows), changes, ["speech"]).groupBy(ID, "run").agg(
+        F.first("speech").alias("speech"), F.count("*").alias("len"), F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last")
+    )
+    # from here on only the table of runs: holes are filled and their neighbours united on it
+    run = fillable(durable(attach(run, limits)), F.col("silence_frames"))
+    whole_runs = runs(
+        run.withColumn("speech", F.col("speech") | F.col("__fill")).withColumnRenamed("run", "nth"), by_position("nth", chunk_rows=chunk_rows), changes, ["speech"]
+    )
+    region = whole_runs.filter("speech").groupBy(ID, "run").agg(
+        F.sum("len").alias("len"), F.min("first").alias("first"), F.max("last").alias("last"),
         *[F.max(c).alias(c) for c in ("hop", "frame", "n_samples", "sample_rate", "speech_frames")],
     )
     region = durable(region.filter("len >= speech_frames")).select(
@@ -107,7 +112,7 @@ def speech_regions(
         ).alias("end_sec"),
     ).filter("end_sec > start_sec")
     peak = frames.groupBy(ID).agg(F.max("rms").alias("peak"))
-    whole = attach(limits, peak).join(region.select(ID).distinct(), ID, "left_anti")
+    whole = attach(attach(limits, peak), region.groupBy(ID).agg(F.lit(True).alias("__found"))).filter("__found is null")
     short = F.col("n_samples") < F.col("frame")
     whole = whole.filter((F.col("n_samples") > 0) & (short | (F.col("peak") > 1e-5))).select(
         ID, F.lit(0.0).alias("start_sec"), (F.col("n_samples") / F.col("sample_rate").cast("double")).alias("end_sec")
