@@ -6,12 +6,15 @@ expression with the same rows, so that a query can be checked against its oracle
 
 from __future__ import annotations
 
+import os
+import tempfile
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words as split_words
+from ..operators import waveforms
 from ..operators.ordered import Timeline, by_position, carry
 
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z
@@ -33,6 +36,15 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def scratch(self, name: str) -> str:
+        """A new folder next to the checkpoints, where every executor can write."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            return f"{base}/{name}-{os.urandom(6).hex()}"
+        if self.spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix=f"voxtable-{name}-") + "/data"
+
     def _events(self) -> DataFrame:
         micros = lambda c: F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
         hours = (micros(F.col("ts")) - micros(F.lit("2024-01-01"))) / F.lit(3.6e9)
@@ -57,14 +69,10 @@ class Tables:
         return n.select("recording_id", (F.col("n") * 2 + 3).alias("n_samples"), F.lit(RATE).alias("sample_rate"))
 
     def waveforms(self) -> DataFrame:
-        """One array per user; a cell of the data model, hence gathered."""
+        """The values of each user's events as samples, in short blocks."""
         sign = F.when(F.col("event_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        rows = self._events().groupBy("user_id").agg(
-            F.array_sort(F.collect_list(F.struct("t", "event_id", (F.col("value") / 500 * sign).cast("float").alias("x")))).alias("a")
-        )
-        return rows.select(
-            F.col("user_id").alias("recording_id"), F.lit(RATE).alias("sample_rate"), F.transform("a", lambda s: s["x"]).alias("samples")
-        )
+        rows = self._events().withColumn("x", (F.col("value") / 500 * sign).cast("float"))
+        return waveforms.gather(rows, Timeline(("t", "event_id"), F.floor(F.col("t") / 240), ("user_id",)), "x", F.lit(RATE), 64)
 
     def turns(self) -> DataFrame:
         c = self.read("conversations").select(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import signal as sg
-from ..operators import dataset, embeddings, log, metrics, scoring, speakers, transcripts, windows
+from ..operators import dataset, embeddings, log, metrics, scoring, speakers, transcripts, waveforms as wf
 from ..operators.islands import merge_consecutive
 from ..operators.ordered import attach
 from ..plans import analyze as an, diarize as di
@@ -85,7 +82,7 @@ register(
 
 def _appended(t: Tables, append):
     """The log after two appends, read back."""
-    folder = _scratch(t, "log")
+    folder = t.scratch("log")
     answers = _answers(t)
     append(answers.filter("id >= 0"), folder)
     append(answers.filter("id < 0"), folder)
@@ -130,7 +127,7 @@ register("read_manifest", lambda t: dataset.read_manifest(t.manifest(), _clip_fi
 
 
 def _manifest_files(t: Tables):
-    folder = _scratch(t, "manifest")
+    folder = t.scratch("manifest")
     t.manifest().withColumn("take", F.lit('A "quoted", part')).write.option("header", "true").option("escape", '"').csv(folder)
     return dataset.read_manifest(dataset.read_manifest_csv(t.spark, folder), _clip_files(t))
 
@@ -219,21 +216,11 @@ register(
 
 
 def _report_file(t: Tables):
-    folder = _scratch(t, "report")
+    folder = t.scratch("report")
     lg.write_metrics_report(metrics.metrics_report(_many(t), "emotion"), folder)
     return lg.read_metrics_report(t.spark, folder).select("task", "summary.*")
 
 
-def _scratch(t: Tables, name: str) -> str:
-    """A new folder next to the checkpoints, where every executor can write."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base}/{name}-{os.urandom(6).hex()}"
-    if t.spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix=f"voxtable-{name}-") + "/data"
-
-
 register("metrics_report_roundtrip", _report_file, "SELECT 'emotion' AS task, * FROM (" + _SUMMARY + ")", also=_MANY, decimals=_SCORES)
 
 # --- vectors
@@ -297,16 +284,12 @@ register(
 _S = "SELECT recording_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM (SELECT recording_id, {s} AS s FROM waveforms)"
 
 
-def _samples(t: Tables, column):
-    return t.waveforms().select(ID, F.posexplode(column).alias("i", "x")).select(ID, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
-
-
-register("peak_normalize", lambda t: _samples(t, sg.peak_normalize("samples")), _S.format(s="list_transform(samples, lambda x: x::DOUBLE / list_max(list_transform(samples, lambda y: abs(y)))::DOUBLE)"), "waveforms", decimals="x")
-register("cap_duration", lambda t: _samples(t, sg.cap_duration("samples", "sample_rate", 0.2)), _S.format(s="list_transform(samples[1:40], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
-register("slice_span", lambda t: _samples(t, sg.slice_span("samples", "sample_rate", F.lit(0.05), F.lit(0.3))), _S.format(s="list_transform(samples[11:60], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
+register("peak_normalize", lambda t: wf.samples(wf.peak_normalize(t.waveforms())), _S.format(s="list_transform(samples, lambda x: x::DOUBLE / list_max(list_transform(samples, lambda y: abs(y)))::DOUBLE)"), "waveforms", decimals="x")
+register("cap_duration", lambda t: wf.samples(wf.cap_duration(t.waveforms(), 0.2)), _S.format(s="list_transform(samples[1:40], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
+register("slice_span", lambda t: wf.samples(wf.slice_span(t.waveforms(), F.lit(0.05), F.lit(0.3))), _S.format(s="list_transform(samples[11:60], lambda x: x::DOUBLE)"), "waveforms", decimals="x")
 register(
     "skip_silent",
-    lambda t: windows.skip_silent(t.waveforms(), 0.12).select(ID),
+    lambda t: wf.skip_silent(t.waveforms(), 0.12).select(ID).distinct(),
     "SELECT recording_id FROM waveforms WHERE sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x::DOUBLE)) / len(samples) + 1e-12) >= 0.12", "waveforms",
 )
 
@@ -455,7 +438,7 @@ def _arrivals(t: Tables):
 def _stream(t: Tables, name: str, build):
     """What the stream has written after the last part; it is stopped and taken up again between parts."""
     spark = t.spark
-    folder = _scratch(t, name)
+    folder = t.scratch(name)
     schema = t.read("events").schema
     for part in _arrivals(t):
         part.write.mode("append").parquet(f"{folder}/in")

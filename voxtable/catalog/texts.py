@@ -285,29 +285,28 @@ register(
 )
 
 
-def _wav_files(t: Tables):
-    """Waveforms as 16-bit WAV bytes, built in the query."""
-    hex_ = lambda value, width: F.lpad(F.hex(value), width, F.lit("0"))
-
-    def little(value, octets: int):
-        h = hex_(value.cast("long"), octets * 2)
-        return F.array_join(F.array(*[F.substring(h, 2 * k - 1, 2) for k in range(octets, 0, -1)]), "")
-
-    pcm = F.transform("samples", lambda s: F.round(s.cast("double") * 30000).cast("long"))
-    body = F.array_join(F.transform(pcm, lambda v: little(F.when(v < 0, v + 65536).otherwise(v), 2)), "")
-    size = F.size("samples") * 2
-    head = F.concat(
-        F.lit("52494646"), little(size + 36, 4), F.lit("57415645666D7420"), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2),
-        little(F.col("sample_rate"), 4), little(F.col("sample_rate") * 2, 4), little(F.lit(2), 2), little(F.lit(16), 2), F.lit("64617461"), little(size, 4),
-    )
-    return t.waveforms().select(ID, F.unhex(F.concat(head, body)).alias("content"))
+def _decoded(t: Tables, max_sec: float | None):
+    """Waveforms written as WAV files and read back."""
+    folder = t.scratch("wav")
+    fl.write_pcm_wav(t.waveforms(), folder, 30000.0).count()
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
+    files = files.select(fl.stem("path").cast("long").alias(ID), "content")
+    rows = fl.unpack_pcm_wav(files, max_sec, size=100).select(ID, "sample_rate", "first_sample", F.posexplode("samples").alias("i", "x"))
+    return rows.select(ID, "sample_rate", (F.col("first_sample") + F.col("i")).alias("i"), F.col("x").cast("double").alias("x"))
 
 
-def _decoded(t: Tables, max_sec: float | None):
-    rows = fl.unpack_pcm_wav(_wav_files(t), max_sec).select(ID, "sample_rate", F.posexplode("samples").alias("i", "x"))
-    return rows.withColumns({"i": F.col("i").cast("long"), "x": F.col("x").cast("double")})
+def _scanned(t: Tables):
+    """Pages written as files and read back."""
+    folder = t.scratch("pages")
+    pages = t.read("pages").filter("html is not null")
+    fl.write_files(pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content")), folder).count()
+    return fl.scan_recordings(t.spark, folder, "*.html").select("name", "length", "sha256")
 
 
+register(
+    "scan_recordings", _scanned,
+    "SELECT 'page_' || page_id || '.html' AS name, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL",
+)
 register(
     "unpack_pcm_wav", lambda t: _decoded(t, None),
     "SELECT recording_id, sample_rate, unnest(range(len(samples))) AS i, unnest(list_transform(samples, lambda s: round(s::DOUBLE * 30000) / 32768)) AS x FROM waveforms", "waveforms", decimals="x",

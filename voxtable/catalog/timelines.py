@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.spans import midpoint, overlap_sec
-from ..operators import folds, intervals, islands, speakers, windows
+from ..operators import folds, intervals, islands, speakers, waveforms, windows
 from ..operators.ordered import by_time, carry
 from .fixtures import Tables
 from .registry import register
@@ -143,7 +143,7 @@ register(
 )
 register(
     "frame_rms",
-    lambda t: windows.frame_rms(t.waveforms()),
+    lambda t: waveforms.frame_rms(t.waveforms()),
     "SELECT recording_id, i::INT AS frame_idx, sqrt(list_sum(list_transform(samples[i * 2 + 1 : i * 2 + 5], lambda x: x::DOUBLE * x::DOUBLE)) / 5 + 1e-12) AS rms FROM ("
     "SELECT recording_id, samples, unnest(range(1 + (len(samples) - 5) // 2)) AS i FROM waveforms WHERE len(samples) >= 5)",
     "waveforms", decimals="rms",

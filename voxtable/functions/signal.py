@@ -1,4 +1,4 @@
-"""Column functions on sample and score arrays (one waveform, vector or logit row per cell)."""
+"""Column functions on sample and score arrays: one frame, vector or logit row per cell; whole waveforms are blocks."""
 
 from __future__ import annotations
 
@@ -12,35 +12,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _sum(array: Column) -> Column:
+def sum_of(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
-def peak_normalize(samples) -> Column:
-    s = _c(samples)
-    top = F.coalesce(F.array_max(F.transform(s, F.abs)).cast("double"), F.lit(0.0))
-    divisor = F.when(top > 0, top).otherwise(F.lit(1.0))
-    return let(divisor, lambda peak: F.transform(s, lambda x: x.cast("double") / peak))
-
-
 def rms(samples, floor: float = 1e-12) -> Column:
     s = _c(samples)
-    energy = _sum(F.transform(s, lambda x: x.cast("double") * x.cast("double")))
+    energy = sum_of(F.transform(s, lambda x: x.cast("double") * x.cast("double")))
     return F.sqrt(energy / F.size(s) + F.lit(floor))
 
 
-def cap_duration(samples, rate, seconds: float) -> Column:
-    return F.slice(_c(samples), F.lit(1), F.floor(_c(rate) * F.lit(seconds)).cast("int"))
-
-
-def slice_span(samples, rate, start, end) -> Column:
-    """Samples of a span, clamped to the waveform."""
-    s, n = _c(samples), F.size(_c(samples))
-    first = F.greatest(F.lit(0), F.floor(_c(start) * _c(rate)).cast("int"))
-    last = F.least(n, F.floor(_c(end) * _c(rate)).cast("int"))
-    return F.slice(s, first + 1, F.greatest(F.lit(0), last - first))
-
-
 def pad_or_crop(vector, n: int) -> Column:
     """Exactly ``n`` values: the centre of a longer vector, or the vector and its minimum repeated."""
     v = _c(vector)
@@ -55,11 +36,11 @@ def standardize(vector) -> Column:
     v = _c(vector)
 
     def scaled(mean: Column) -> Column:
-        squares = _sum(F.transform(v, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean)))
+        squares = sum_of(F.transform(v, lambda x: (x.cast("double") - mean) * (x.cast("double") - mean)))
         spread = F.greatest(F.sqrt(squares / (F.size(v) - 1)), F.lit(1e-6))
         return let(spread, lambda d: F.transform(v, lambda x: (x.cast("double") - mean) / d))
 
-    return let(_sum(v) / F.size(v), scaled)
+    return let(sum_of(v) / F.size(v), scaled)
 
 
 def softmax(logits) -> Column:
@@ -70,12 +51,12 @@ def softmax(logits) -> Column:
     )
     return let(
         exps,
-        lambda es: let(_sum(es), lambda total: F.transform(es, lambda e: F.round(e / total, 4))),
+        lambda es: let(sum_of(es), lambda total: F.transform(es, lambda e: F.round(e / total, 4))),
     )
 
 
 def dot(a, b) -> Column:
-    return _sum(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
+    return sum_of(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def unit(vector) -> Column:

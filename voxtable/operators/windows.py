@@ -5,35 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..functions.signal import rms
 from .intervals import overlap_pairs
 from .islands import ID, fillable
 from .ordered import Timeline, attach, by_position, carry, durable, runs, spans
-
-FRAME_SEC, HOP_SEC = 0.025, 0.010
-
-
-def _samples(rate: Column, seconds: float) -> Column:
-    return F.greatest(F.lit(1), F.floor(rate * F.lit(seconds)).cast("int"))
-
-
-def frame_rms(waveforms: DataFrame) -> DataFrame:
-    """Root mean square of overlapping frames, one row per frame."""
-    frame, hop = _samples(F.col("sample_rate"), FRAME_SEC), _samples(F.col("sample_rate"), HOP_SEC)
-    n = F.size("samples")
-    sized = waveforms.filter(n >= frame).withColumn("__frame", frame).withColumn("__hop", hop)
-    last = F.floor((n - F.col("__frame")) / F.col("__hop")).cast("int")
-    levels = F.transform(
-        F.sequence(F.lit(0), last), lambda i: let(F.slice("samples", i * F.col("__hop") + 1, F.col("__frame")), lambda part: rms(part))
-    )
-    return sized.select(ID, F.posexplode(levels).alias("frame_idx", "rms"))
-
-
-def skip_silent(windows: DataFrame, floor_rms: float, samples: str = "samples") -> DataFrame:
-    """Windows of audio that are not nearly silent."""
-    return windows.filter(rms(samples) >= floor_rms)
-
+from .waveforms import FRAME_SEC, HOP_SEC, samples_in
 
 def percentiles(
     rows: DataFrame, value: str, shares: dict[str, float], key: tuple[str, ...] = (ID,)
@@ -83,8 +58,8 @@ def speech_regions(
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     limits = recordings.select(
         ID, "n_samples", "sample_rate",
-        _samples(F.col("sample_rate"), FRAME_SEC).alias("frame"),
-        _samples(F.col("sample_rate"), HOP_SEC).alias("hop"),
+        samples_in(F.col("sample_rate"), FRAME_SEC).alias("frame"),
+        samples_in(F.col("sample_rate"), HOP_SEC).alias("hop"),
         F.greatest(F.lit(1), F.floor(lit(min_speech) * 1000.0 / (HOP_SEC * 1000)).cast("int")).alias("speech_frames"),
         F.greatest(F.lit(1), F.floor(lit(min_silence) * 1000.0 / (HOP_SEC * 1000)).cast("int")).alias("silence_frames"),
     )
@@ -161,7 +136,7 @@ def hop_windows(
     rate, n = F.col("sample_rate"), F.col("n_samples")
     sized = recs.filter(n > 0).select(
         ID, "n_samples",
-        _samples(rate, win_sec).alias("win"), _samples(rate, hop_sec).alias("hop"),
+        samples_in(rate, win_sec).alias("win"), samples_in(rate, hop_sec).alias("hop"),
         F.floor(rate * F.lit(min_tail_sec)).alias("tail"),
     )
     out = sized.select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1, F.col("hop").cast("long"))).alias("window_id", "start"))
