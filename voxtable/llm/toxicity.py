@@ -105,11 +105,16 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and toxic of the documents with a label; where labels repeat a document, the larger one counts."""
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("toxic")).where("toxic IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    # always by shuffle: a switch to broadcasting small labels would hide what larger inputs move
+    return docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and predicted (1 from score 0.5), one row for each row of ``docs``."""
+    """doc_id, score and predicted (1 from score 0.5), one row for each row of ``docs``.
+
+    A null text is scored as the empty one; repeated rows and rows with a null doc_id are each scored; an empty table
+    gives none; other columns are ignored.
+    """
     small_batches(docs.sparkSession)
     scored = docs.select(docs["doc_id"].alias("doc_id"), toxicity(docs.sparkSession, model)(docs["text"]).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
