@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -89,12 +90,14 @@ def candidates(text: str, sure: list[tuple[str, int, int]]) -> list[tuple[str, i
         found += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     if ":" in text:
         found += [("ip", *m.span()) for m in _SIX.finditer(text)]
-    taken = sorted((s, e) for _, s, e in sure)
-    starts = np.array([s for s, _ in taken] or [0])
+    starts, reach = [], []  # of the sure spans in order: where they begin, and how far any up to there goes
+    for s, e in sorted((s, e) for _, s, e in sure):
+        starts.append(s)
+        reach.append(max(e, reach[-1]) if reach else e)
     out, end = [], -1
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2])):
-        i = int(np.searchsorted(starts, e)) if taken else 0
-        if s >= end and not any(b > s for _, b in taken[max(0, i - 4) : i]):
+        i = bisect_left(starts, e)
+        if s >= end and not (i and reach[i - 1] > s):
             out.append((kind, s, e))
             end = e
     return out
