@@ -63,7 +63,7 @@ def best_fit(pieces: list[tuple[int, tuple]], bins: Bins) -> list[tuple]:
     room: list[int] = []
     held: list[list] = []
     at = 0
-    for length, row in sorted(pieces, key=lambda x: (-x[0], x[1][:2])):
+    for length, row in sorted(pieces, key=lambda x: (-x[0], x[1][0] is not None, x[1][0] or 0, x[1][1])):
         while at < len(room) and room[at] == 0:
             at += 1
         i = next((i for i in range(at, len(room)) if room[i] >= length), None)
