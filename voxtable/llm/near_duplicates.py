@@ -185,6 +185,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, but those linked to one with a smaller doc_id."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__copy"], "left_anti")
+    """The documents, with all their columns, one of each group of near duplicates.
+
+    Each row is a document of its own, judged by its own text, whatever its doc_id. Of a group the row with the smallest
+    doc_id stays (null last; ties: the least hash of the text, then the first row of the table), so rows without a doc_id
+    and rows that share one are copies like others. Rows without words stay; an empty table gives an empty table.
+    """
+    # numbered once and written, as the numbers must be the same wherever the rows are read again
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(docs["doc_id"].isNull(), docs["doc_id"].cast("long"), F.xxhash64(docs["text"]), docs["__row"].alias("row"))
+    found = near_duplicates(docs.select(docs["__row"].alias("doc_id"), docs["text"]), percent).select(F.col("doc_id").alias("__of"), "component_id")
+    placed = found.join(docs.select(F.col("__row").alias("__of"), order.alias("order")), "__of")
+    stays = placed.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("__first"))
+    return docs.join(stays, docs["__row"] == stays["__first"], "left_semi").drop("__row")
