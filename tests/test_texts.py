@@ -66,5 +66,5 @@ def test_ngrams_keep_the_first_occurrence(spark):
     loop = "alpha beta gamma"
     text = f"{loop} one two three {loop} four five six {loop} seven"
     df = spark.createDataFrame([(1, text), (2, "too short to touch"), (3, None)], "id long, text string")
-    got = {r.id: r.text for r in transcripts.collapse_ngrams(df, "id").collect()}
+    got = {r.id: r.text for r in transcripts.collapse_ngrams(df).collect()}
     assert got == {1: f"{loop} one two three four five six seven", 2: "too short to touch", 3: None}

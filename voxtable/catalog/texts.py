@@ -100,8 +100,8 @@ register(
     f"list_transform(regexp_extract_all({_SQUASH.format('text')}, '[^.!?।॥]*[.!?।॥]\\s*|[^.!?।॥]+$'), lambda x: trim(x)) AS s FROM ec)",
     "transcripts", _ECHO,
 )
-register("collapse_ngrams", lambda t: transcripts.collapse_ngrams(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
-register("clean_transcript", lambda t: transcripts.clean_transcript(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
+register("collapse_ngrams", lambda t: transcripts.collapse_ngrams(spread(t.transcripts(), ID)).select(ID, F.col("text").alias("result")))
+register("clean_transcript", lambda t: transcripts.clean_transcript(spread(t.transcripts(), ID)).select(ID, F.col("text").alias("result")))
 _col("clean_preserving", lambda: tx.clean_preserving("text"))
 _HAS = "CASE lang " + " ".join(f"WHEN '{c}' THEN {c}_n > 0" for c in tx.SCRIPTS) + " ELSE false END"
 _SHOWN = "('> ' || text)"
@@ -115,7 +115,7 @@ register(
     f"SELECT *, {_LANG} AS found, regexp_extract_all(text, '[\\x{{0C80}}-\\x{{0CFF}}]') AS k FROM sc)",
     "transcripts", f"sq AS (SELECT recording_id, lang, {_SQUASH.format('text')} AS text FROM transcripts), " + _SC.replace("FROM transcripts", "FROM sq"),
 )
-register("filter_script_mismatch", lambda t: transcripts.filter_script_mismatch(t.transcripts(), ID).select(ID, F.col("text").alias("result")))
+register("filter_script_mismatch", lambda t: transcripts.filter_script_mismatch(spread(t.transcripts(), ID)).select(ID, F.col("text").alias("result")))
 register(
     "resolve_language",
     lambda t: t.transcripts().withColumn("language", tx.resolve_language("text", "lang")).select(

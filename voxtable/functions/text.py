@@ -172,19 +172,19 @@ def collapse_phrase_repeats(text, passes: int = 4) -> Column:
 def collapse_whole_string_loop(text, shortest: int = 6, longest: int = 240) -> Column:
     """A text that is one unit copied, or starts with three copies of one, keeps the unit once.
 
-    Units are tried from the longest; the first blocks alone, cut from the text's
-    head, rule out nearly all lengths, so the full comparison runs on the few texts
-    that do loop.
+    The second copy begins where the text's first ``shortest`` characters come again, and the unit is as long as that
+    place, less white space before it. Only those lengths are tried, from the longest; a text in whose head its first
+    characters don't come again is done with one search.
     """
 
     def bound(t: Column) -> Column:
-        once = F.struct(F.length(t).alias("n"), F.substring(t, 1, 3 * longest).alias("head"))
-        return let(once, lambda b: _collapse_loop(t, b["n"], b["head"], shortest, longest))
+        once = F.struct(F.length(t).alias("n"), F.substring(t, 1, 3 * longest).alias("head"), F.substring(t, 1, shortest).alias("first"))
+        return let(once, lambda b: _collapse_loop(t, b["n"], b["head"], b["first"], shortest, longest))
 
     return let(strip(_c(text)), bound)
 
 
-def _collapse_loop(t: Column, n: Column, head: Column, shortest: int, longest: int) -> Column:
+def _collapse_loop(t: Column, n: Column, head: Column, begin: Column, shortest: int, longest: int) -> Column:
     def block(k: int, size: Column) -> Column:
         return strip(F.substring(head, F.lit(1) + F.lit(k) * size, size))
 
@@ -197,6 +197,10 @@ def _collapse_loop(t: Column, n: Column, head: Column, shortest: int, longest: i
         third = (n >= 3 * size) & (block(2, size) == unit)
         return (F.length(unit) >= shortest) & (block(1, size) == unit) & (third | whole(size))
 
+    def lengths(at: Column) -> Column:
+        before = F.length(F.rtrim(F.substring(head, F.lit(1), at), F.lit(SPACES)))
+        return F.sequence(F.greatest(before, F.lit(shortest)), at)
+
     def shorten(size: Column) -> Column:
         pieces = F.regexp_extract_all(
             t, F.concat(F.lit("(?s).{"), size.cast("string"), F.lit("}")), F.lit(0)
@@ -213,12 +217,16 @@ def _collapse_loop(t: Column, n: Column, head: Column, shortest: int, longest: i
             strip(F.concat_ws(" ", block(0, size), rest))
         )
 
-    top = F.least(F.floor(n / 2), F.lit(longest)).cast("int")
-    sizes = F.when(
-        n >= 2 * shortest,
-        F.filter(F.sequence(F.greatest(top, F.lit(shortest)), F.lit(shortest), F.lit(-1)), loops),
+    # beyond the longest unit a copy can only begin after white space that fills the rest of its block
+    far = F.when(head.rlike(SPACE + "{2}"), F.lit(2 * longest - shortest)).otherwise(F.lit(longest + 1))
+    again = F.filter(
+        F.sequence(F.lit(shortest), F.greatest(F.least(far, n - shortest), F.lit(shortest))), lambda at: F.substring(head, at + 1, F.lit(shortest)) == begin
+    )
+    sizes = let(
+        F.array_distinct(F.flatten(F.transform(again, lengths))),
+        lambda all_: F.filter(F.sort_array(all_, asc=False), lambda z: (2 * z <= n) & (z <= longest) & loops(z)),
     )
-    first = F.get(sizes, F.lit(0))
+    first = F.when((n >= 2 * shortest) & (F.position(begin, head, F.lit(2)) > 0), F.get(sizes, F.lit(0)))
     return let(first, lambda size: F.when(size.isNull(), t).otherwise(shorten(size)))
 
 
@@ -243,8 +251,73 @@ def clean_preserving(text) -> Column:
     return squash_space(collapse_script_word_repeats(t))
 
 
+def collapse_ngrams(text, longest: int = 8, min_count: int = 3, letters: int = 8) -> Column:
+    """Keep only the first of over-repeated word n-grams (2 to ``longest`` words, at least ``letters`` letters).
+
+    All inside the row: n-grams are 64-bit hashes, and a gram of n + 1 words can only be frequent where its first n words
+    are, so each length looks at the places that the length before left. Sorting brings equal grams together, and runs
+    of ``min_count`` are frequent. Most texts end after the pairs. Reading a text is a walk that jumps over the longest
+    frequent gram at each place; of those it meets the first of each kind stays. Texts under 12 words are left alone.
+    """
+
+    def frequent(places: Column) -> Column:
+        def in_run(s: Column, k: Column) -> Column:
+            same = lambda j: F.coalesce(F.get(s, k - j)["h"] == F.get(s, k - j + min_count - 1)["h"], F.lit(False))
+            out = same(0)
+            for j in range(1, min_count):
+                out = out | same(j)
+            return out
+
+        return let(F.sort_array(places), lambda s: F.filter(s, lambda x, k: in_run(s, k)))
+
+    def longer(base: Column, hot: Column, n: int) -> Column:
+        inside = F.filter(hot, lambda p: p["i"] + n < F.size(base))
+        return F.transform(inside, lambda p: F.struct(F.xxhash64(p["h"], F.get(base, p["i"] + n)).alias("h"), p["i"].alias("i")))
+
+    def levels(t: Column, w: Column, base: Column, hot: Column, n: int, found: list[Column]) -> Column:
+        found = [*found, F.transform(hot, lambda p: F.struct(p["i"].alias("i"), F.lit(-n).alias("less"), p["h"].alias("h")))]
+        if n == longest:
+            return let(F.flatten(F.array(*found)), lambda grams: without(t, w, grams))
+        return let(frequent(longer(base, hot, n)), lambda h: levels(t, w, base, h, n + 1, found))
+
+    def without(t: Column, w: Column, grams: Column) -> Column:
+        enough = F.filter(grams, lambda g: F.length(F.array_join(F.slice(w, g["i"] + 1, -g["less"]), "")) >= letters)
+        first_at = let(F.sort_array(enough), lambda s: F.filter(s, lambda g, k: ~F.coalesce(F.get(s, k - 1)["i"] == g["i"], F.lit(False))))
+        met = "array<struct<n:int,h:bigint,i:int>>"
+        start = F.struct(F.lit(0).alias("next"), F.array().cast(met).alias("met"))
+        walk = F.aggregate(
+            first_at,
+            start,
+            lambda acc, g: F.when(g["i"] < acc["next"], acc).otherwise(
+                F.struct(
+                    (g["i"] - g["less"]).alias("next"),
+                    F.concat(acc["met"], F.array(F.struct((-g["less"]).alias("n"), g["h"].alias("h"), g["i"].alias("i")))).cast(met).alias("met"),
+                )
+            ),
+        )["met"]
+        again = lambda s: F.filter(s, lambda g, k: F.coalesce((F.get(s, k - 1)["h"] == g["h"]) & (F.get(s, k - 1)["n"] == g["n"]), F.lit(False)))
+        gone = let(F.sort_array(walk), lambda s: F.sort_array(F.transform(again(s), lambda g: F.struct(g["i"].alias("i"), g["n"].alias("n")))))
+        return let(gone, lambda g: F.when(F.size(g) == 0, t).otherwise(F.array_join(rest(w, g), " ")))
+
+    def rest(w: Column, gone: Column) -> Column:
+        end = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1)["i"] + F.get(gone, k - 1)["n"])
+        until = lambda k: F.when(k == F.size(gone), F.size(w)).otherwise(F.get(gone, k)["i"])
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: let(end(k), lambda a: F.slice(w, a + 1, until(k) - a))))
+
+    def pairs(base: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(base) - 2), lambda i: F.struct(F.xxhash64(F.get(base, i), F.get(base, i + 1)).alias("h"), i.alias("i")))
+
+    def run(t: Column, w: Column) -> Column:
+        base = F.transform(w, lambda x: F.xxhash64(x))
+        return let(
+            base, lambda b: let(frequent(pairs(b)), lambda hot: F.when(F.size(hot) == 0, t).otherwise(levels(t, w, b, hot, 2, [])))
+        )
+
+    return let(_c(text), lambda t: let(words(t), lambda w: F.when(F.size(w) >= 12, run(t, w)).otherwise(t)))
+
+
 def clean_before_ngrams(text) -> Column:
-    """The expression part of full cleaning; n-gram loops need :func:`operators.transcripts.collapse_ngrams`."""
+    """Full cleaning up to the n-gram loops (:func:`collapse_ngrams`), which are a projection of their own: together they nest too deep."""
     t = collapse_word_repeats(mark_vocalization(strip(F.coalesce(_c(text), F.lit("")))))
     t = collapse_whole_string_loop(squash_space(t))
     t = drop_repeated_sentences(t)

@@ -349,10 +349,10 @@ def fold(
     if seeds is not None:
         sides.append(F.lag("__ends").over(tl.chunks).alias("__seeds"))
     edges = edges.select(*tl.ids, *sides)
-    held = durable(items.join(edges, tl.ids))
+    held = items.join(edges, tl.ids)
     tries = durable(held.select(*tl.ids, F.array(tried(none)).alias("__tries")))
     while True:
-        told = durable(_follow(tries, tl, state, carried))
+        told = _follow(tries, tl, state, carried)
         unknown = told.filter(~F.col("__known"))
         if unknown.isEmpty():
             break

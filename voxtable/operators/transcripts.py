@@ -2,117 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..functions.text import clean_before_ngrams, keep_script, split_sentences, squash_space, words
-from .ordered import durable, spread
+from ..functions.text import clean_before_ngrams, keep_script, split_sentences, squash_space
+from ..functions.text import collapse_ngrams as in_row_ngrams
 
 
-def collapse_ngrams(
-    df: DataFrame, key: str, text: str = "text", longest: int = 8, min_count: int = 3, out: str | None = None
-) -> DataFrame:
-    """Keep only the first of over-repeated word n-grams (2 to 8 words, at least 8 letters).
+def collapse_ngrams(df: DataFrame, text: str = "text", longest: int = 8, min_count: int = 3, out: str | None = None) -> DataFrame:
+    """Keep only the first of over-repeated word n-grams; each text inside its row."""
+    return df.withColumn(out or text, in_row_ngrams(text, longest, min_count))
 
-    Repeats are counted as rows: an n-gram can only be frequent where its leading
-    pair is, so pairs are counted first and longer grams are built at frequent
-    places only.  Reading a text is a walk over word positions that jumps over the
-    longest frequent gram it meets; only the frequent places of one text, at most
-    as many as it has words, are walked inside its row.
-    """
-    out = out or text
-    base = df.select(key, F.col(text).alias("__text")).filter("__text is not null")
-    base = spread(base, key).withColumn("w", words("__text"))
-    long_texts = base.filter(F.size("w") >= 12).select(key, "w")
 
-    def grams(source: DataFrame, spots) -> DataFrame:
-        # grams are cut out before the explode, which would repeat the word array per row
-        cut = F.transform(
-            spots,
-            lambda at: let(
-                F.slice("w", at["i"] + 1, at["n"]),
-                lambda g: F.struct(
-                    at["i"].alias("i"),
-                    at["n"].alias("n"),
-                    F.array_join(g, " ").alias("gram"),
-                    (F.length(F.array_join(g, ""))).alias("letters"),
-                ),
-            ),
-        )
-        return source.select(key, F.inline(cut))
-
-    pairs = grams(
-        long_texts,
-        F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(i.alias("i"), F.lit(2).alias("n"))),
-    )
-    hot = pairs.withColumn("c", F.count("*").over(Window.partitionBy(key, "gram"))).filter(F.col("c") >= min_count)
-    places = hot.groupBy(key).agg(F.array_sort(F.collect_list("i")).alias("hot"))
-    dense = long_texts.join(places, key)
-    sizes = F.flatten(
-        F.transform(
-            "hot",
-            lambda i: F.transform(
-                F.filter(F.sequence(F.lit(2), F.lit(longest)), lambda n: i + n <= F.size("w")),
-                lambda n: F.struct(i.alias("i"), n.alias("n")),
-            ),
-        )
-    )
-    frequent = (
-        grams(dense, sizes)
-        .filter("letters >= 8")
-        .withColumn("c", F.count("*").over(Window.partitionBy(key, "n", "gram")))
-        .filter(F.col("c") >= min_count)
-    )
-    jumps = frequent.groupBy(key, "i").agg(F.max(F.struct("n", "gram")).alias("best"))
-    jumps = jumps.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("i", "best.n", "best.gram"))).alias("jumps")
-    )
-    met = "array<struct<i:int,n:int,gram:string>>"
-    walk = F.aggregate(
-        "jumps",
-        F.struct(F.lit(0).alias("next"), F.array().cast(met).alias("met")),
-        lambda acc, j: F.when(j["i"] < acc["next"], acc).otherwise(
-            F.struct(
-                (j["i"] + j["n"]).alias("next"), F.concat(acc["met"], F.array(j).cast(met)).alias("met")
-            )
-        ),
-    )["met"]
-    visited = jumps.select(key, F.inline(walk))
-    again = visited.withColumn("first", F.min("i").over(Window.partitionBy(key, "n", "gram")))
-    drops = again.filter("i > first").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("i", "n"))).alias("drops")
-    )
-    result = df.join(drops, key, "left")
-    w, gone = words(text), F.col("drops")
-    kept = let(
-        w,
-        lambda w: F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.size(gone)),
-                lambda k: let(
-                    F.when(k == 0, F.lit(0)).otherwise(F.get(gone, k - 1)["i"] + F.get(gone, k - 1)["n"]),
-                    lambda a: F.slice(
-                        w, a + 1,
-                        F.when(k == F.size(gone), F.size(w)).otherwise(F.get(gone, k)["i"]) - a,
-                    ),
-                ),
-            )
-        ),
-    )
-    new = F.when(gone.isNotNull(), F.array_join(kept, " ")).otherwise(F.col(text))
-    return result.withColumn(out, new).drop("drops")
-
-
-def clean_transcript(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def clean_transcript(df: DataFrame, text: str = "text") -> DataFrame:
     """Full cleaning: stutters, word, sentence and phrase loops, then n-gram loops."""
-    cleaned = durable(spread(df, key).withColumn(text, clean_before_ngrams(text)))
-    return collapse_ngrams(cleaned, key, text).withColumn(text, squash_space(text))
+    before = df.withColumn(text, clean_before_ngrams(text))
+    return collapse_ngrams(before, text).withColumn(text, squash_space(text))
 
 
-def filter_script_mismatch(df: DataFrame, key: str, text: str = "text", language: str = "lang") -> DataFrame:
+def filter_script_mismatch(df: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
     """Clean, then blank texts that are clearly not in their language."""
-    return clean_transcript(df, key, text).withColumn(text, keep_script(F.col(text), F.col(language)))
+    return clean_transcript(df, text).withColumn(text, keep_script(F.col(text), F.col(language)))
 
 
 def sentences(df: DataFrame, key: str = "recording_id", text: str = "text") -> DataFrame:

@@ -93,8 +93,12 @@ def analyze(
     come from them, and ``recs`` needs only ``recording_id, emotion``.
     """
     given = _languages(recs, chunks)
-    spoken = clean_transcript(given, ID, "transcript")
-    spoken = durable(clean_transcript(spoken, ID, "original").withColumnRenamed("original", "transcript_original"))
+    # an original that is the transcript is cleaned once
+    given = given.withColumn("__same", F.col("original").eqNullSafe(F.col("transcript")))
+    given = given.withColumn("original", F.when(~F.col("__same"), F.col("original")))
+    spoken = clean_transcript(clean_transcript(given, "transcript"), "original")
+    original = F.when(F.col("__same"), F.col("transcript")).otherwise(F.col("original"))
+    spoken = durable(spoken.withColumn("transcript_original", original).drop("original", "__same"))
 
     langs = spoken.select(ID, F.col("language").alias("lang"))
     voiced = durable(normalize_turns(attach(turns, langs), "lang"))

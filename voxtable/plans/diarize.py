@@ -17,7 +17,7 @@ from ..operators.embeddings import label_speakers
 from ..operators.folds import drop_near_repeats, resolve_overlaps
 from ..operators.intervals import assign_phrases, assign_timed_text, prefer_given_speakers
 from ..operators.islands import ID, merge_asr_turns, merge_segments, smooth_switches, words_to_turns
-from ..operators.ordered import Timeline, attach, by_position, durable, join_text, number
+from ..operators.ordered import Timeline, attach, by_position, durable, join_text, number, spread
 from ..operators.speakers import collapse_to_single, drop_micro_segments, is_kannada, looks_like_monologue, normalize_turns
 from ..operators.transcripts import filter_script_mismatch
 from ..operators.windows import region_windows, speech_regions
@@ -63,8 +63,9 @@ def spoken_turns(segments: DataFrame, phrases: DataFrame, recordings: DataFrame)
         ID, "lang",
         F.when(is_kannada("lang"), "kannada").when(F.col("n") >= 2, "several").otherwise("single").alias("kind"),
     )
-    said = phrases.join(kind, ID).withColumn("__key", F.concat_ws(":", ID, "pos"))
-    said = durable(filter_script_mismatch(said, "__key").filter(~shorter_than("text", 2)).drop("__key", "lang"))
+    said = filter_script_mismatch(spread(attach(phrases, kind, (ID,), "inner"), ID, "pos"))
+    # written before the filter, which would otherwise clean every text a second time
+    said = durable(said.drop("lang")).filter(~shorter_than("text", 2))
     part = lambda k: said.filter(F.col("kind") == k).drop("kind")
     kannada, single, several = part("kannada"), part("single"), part("several")
     keep = lambda rows, kept: rows.join(kept.select(ID, "pos"), [ID, "pos"], "left_semi")
