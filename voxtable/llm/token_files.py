@@ -41,14 +41,17 @@ def digest(dictionary: bytes) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, cut: str, max_docs: int = 1000, size: int = 65536) -> bytes:
-    """A dictionary trained on at most ``max_docs`` documents' arrays, drawn by hash, of each the first 32 KiB; empty if too few."""
+    """A dictionary trained on about ``max_docs`` documents' arrays, drawn where they lie, of each the first 32 KiB; empty if too few.
+
+    It decides the size of the frames, never the ids in them.
+    """
 
     def read(batches):
         for (some,) in groups_of(batches, ["text"], 1 << 19):
             data = [serialized(x + end.to_bytes(4, "little"))[: 1 << 15] for x in encoder(tokenizer, cut).encode(some)]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
 
-    drawn = texts(docs).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_docs).select("text")
+    drawn = texts(docs).sample(min(1.0, max_docs / max(1, docs.count())), seed=5).select("text")
     samples = [bytes(r["data"]) for r in drawn.mapInArrow(read, "data binary").collect()]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples).as_bytes() if len(samples) > 7 else b""

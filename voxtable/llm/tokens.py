@@ -38,17 +38,17 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cuts = [self.pieces(t) for t in texts]
-        wanted = set().union(*cuts)
-        missing = list(wanted.difference(self.ids))
-        if len(self.ids) + len(missing) > KEPT_PIECES:  # the older half, in which frequent pieces are, stays
-            self.ids = dict(islice(self.ids.items(), KEPT_PIECES // 2))
-            missing = list(wanted.difference(self.ids))
-        self.ids.update(self._direct(missing))
-        out = [b"".join(map(self.ids.__getitem__, cut)) for cut in cuts]
-        for p in missing:
-            if len(p) > KEPT_CHARS:
-                del self.ids[p]
-        return out
+        known = self.ids.get
+        parts = [list(map(known, cut)) for cut in cuts]
+        open_ = [(i, cuts[i], part) for i, part in enumerate(parts) if None in part]
+        if open_:
+            new = self._direct(list({p for _, cut, part in open_ for p, ids in zip(cut, part, strict=True) if ids is None}))
+            for i, cut, part in open_:
+                parts[i] = [new[p] if ids is None else ids for p, ids in zip(cut, part, strict=True)]
+            if len(self.ids) + len(new) > KEPT_PIECES:  # the older half, in which frequent pieces are, stays
+                self.ids = dict(islice(self.ids.items(), KEPT_PIECES // 2))
+            self.ids.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_CHARS)
+        return [b"".join(part) for part in parts]
 
     def _direct(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that aren't remembered; a word with one stop after it is the word's ids and the stop's."""
