@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -21,6 +23,28 @@ ID = "recording_id"
 register("history_view", lambda t: log.history_view(t.log()), "SELECT id, audio_filename, question, answer, created_at FROM log", "log")
 register("history", lambda t: log.history(t.log(), 500, 20), "SELECT id, audio_filename, question, answer, created_at FROM log ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 20", "log")
 register("get_by_id", lambda t: log.get_by_id(t.log(), 7), "SELECT id, audio_filename, question, answer, created_at FROM log WHERE id = 7", "log")
+
+
+def _looked_up(t: Tables, find):
+    """The log with sounds, laid out for lookups in eight files, and one entry of it."""
+    folder = t.scratch("lookup")
+    sounds = F.when(F.col("id") % 2 == 0, F.to_json(F.array("question", "answer"))).otherwise(F.lit("not json"))
+    log_ = t.log().withColumns({"token": F.concat(F.lit("t"), F.md5(F.col("id").cast("string"))), "sounds_json": sounds})
+    lg.write_lookup(log_, folder, "id", "token", rows=max(1, log_.count() // 8))
+    return find(t.spark.read.parquet(folder))
+
+
+_SOUNDS = "CASE WHEN id % 2 = 0 THEN question || '|' || answer ELSE '' END AS sounds"
+register(
+    "get_analysis_by_id",
+    lambda t: _looked_up(t, lambda logs: log.get_by_id(logs, 32)).withColumn("sounds", F.array_join("sounds", "|")),
+    "SELECT id, audio_filename, question, answer, created_at, 't' || md5(id::VARCHAR) AS token, " + _SOUNDS + " FROM log WHERE id = 32", "log",
+)
+register(
+    "get_analysis_by_token",
+    lambda t: _looked_up(t, lambda logs: lg.read_analysis(log.history_view(logs)).filter(F.col("token") == "t" + hashlib.md5(b"7").hexdigest())).withColumn("sounds", F.array_join("sounds", "|")),
+    "SELECT id, audio_filename, question, answer, created_at, 't' || md5(id::VARCHAR) AS token, " + _SOUNDS + " FROM log WHERE id = 7", "log",
+)
 register(
     "get_audio",
     lambda t: log.get_audio(t.log().withColumns({"audio_mime": F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.col("audio_mime")), "audio_data": F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("audio_data"))})).withColumn("audio_data", F.hex("audio_data")),
@@ -191,7 +215,7 @@ register("score_summary_orders", lambda t: metrics.score_summary(_many(t)), _SUM
 register(
     "class_report",
     lambda t: metrics.class_report(_many(t)),
-    "SELECT label::VARCHAR AS class, precision, recall, f1, support FROM sc UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM sc UNION ALL "
+    "SELECT label::VARCHAR AS class, precision, recall, f1, support FROM sc UNION ALL SELECT 'accuracy', NULL, NULL, avg((y_true = y_pred)::INT), count(*) FROM many UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM sc UNION ALL "
     "SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT FROM sc",
     also=_MANY, decimals="precision recall f1",
 )
@@ -209,7 +233,7 @@ register(
     "merge_reports",
     lambda t: metrics.merge_reports(metrics.metrics_report(t.predictions(), "sounds"), metrics.metrics_report(_many(t), "emotion")).select("format", F.explode("tasks").alias("task", "m")).select(
         "format", "task", F.round("m.summary.accuracy", 6).alias("accuracy"), F.size("m.report").cast("long").alias("report_rows"), F.size("m.confusion").cast("long").alias("cells")),
-    "SELECT 'metrics_merged_v1' AS format, task, round(accuracy, 6) AS accuracy, k + 2 AS report_rows, k * k AS cells FROM (SELECT 'sounds' AS task, avg((y_true = y_pred)::INT) AS accuracy, (SELECT count(DISTINCT y) FROM (SELECT y_true AS y FROM predictions UNION ALL SELECT y_pred FROM predictions)) AS k FROM predictions "
+    "SELECT 'metrics_merged_v1' AS format, task, round(accuracy, 6) AS accuracy, k + 3 AS report_rows, k * k AS cells FROM (SELECT 'sounds' AS task, avg((y_true = y_pred)::INT) AS accuracy, (SELECT count(DISTINCT y) FROM (SELECT y_true AS y FROM predictions UNION ALL SELECT y_pred FROM predictions)) AS k FROM predictions "
     "UNION ALL SELECT 'emotion', avg((y_true = y_pred)::INT), (SELECT count(*) FROM cc) FROM many)",
     "predictions", _MANY,
 )
@@ -334,8 +358,9 @@ CUES = {"addresses_a": r"(?i)\bthe\b", "addresses_b": r"(?i)\band\b", "self_a":
 _FLAG = {k: f"regexp_matches(text, '{p}')" for k, p in CUES.items()}
 register(
     "dialogue_speakers",
-    lambda t: speakers.dialogue_speakers(_sentences(t), CUES, chunk_rows=16, merge=False).select(ID, "turn", "speaker", "text"),
-    "SELECT recording_id, turn, 'Speaker ' || (who + 1) AS speaker, text FROM (SELECT *, max(who) OVER (PARTITION BY recording_id) <> min(who) OVER (PARTITION BY recording_id) AS two_voices FROM f) WHERE two_voices",
+    lambda t: speakers.dialogue_speakers(_sentences(t), CUES, chunk_rows=16).select(ID, "turn", "speaker", "text"),
+    "SELECT recording_id, min(turn) AS turn, 'Speaker ' || (min(who) + 1) AS speaker, string_agg(text, ' ' ORDER BY turn) AS text FROM (SELECT *, sum(changed) OVER (PARTITION BY recording_id ORDER BY turn) AS run FROM ("
+    "SELECT *, CASE WHEN lag(who) OVER (PARTITION BY recording_id ORDER BY turn) = who THEN 0 ELSE 1 END AS changed, max(who) OVER (PARTITION BY recording_id) <> min(who) OVER (PARTITION BY recording_id) AS two_voices FROM f) WHERE two_voices) GROUP BY recording_id, run",
     "turns", recursive=True,
     also="s0 AS (SELECT recording_id, string_agg(text, ' ' ORDER BY turn) AS text FROM turns GROUP BY recording_id), s1 AS (SELECT recording_id, unnest(range(len(p))) AS pos, unnest(p) AS text FROM (SELECT recording_id, list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), "
     "lambda x: trim(x, ' ,')), lambda x: x <> '') AS p FROM s0)), s2 AS (SELECT recording_id, pos, CASE WHEN regexp_matches(text, '[.!?]$') THEN text ELSE text || '.' END AS text FROM s1), fl AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _FLAG.items()) + " FROM s2), "

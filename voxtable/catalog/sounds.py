@@ -179,14 +179,26 @@ def _clip_moods(t: Tables):
     return t.turns().select(ID).distinct().withColumn("emotion", F.when(F.col(ID) % 3 == 0, F.lit("")).otherwise(F.lit("calm")))
 
 
+def _voices(t: Tables):
+    """All turns, and beside them those of recordings whose turns are too short, and of some whose first speaker is silent."""
+    short = t.turns().withColumns({ID: -1 - F.col(ID), "end_sec": F.col("start_sec") + F.lit(0.25)})
+    return t.turns().unionByName(short)
+
+
 def _by_speaker(t: Tables):
-    return report.speaker_emotions(t.turns().filter((F.col("turn") > 0) | (F.col(ID) % 5 > 0)), _moods(t).filter(F.col(ID) % 6 > 0), _clip_moods(t), budget_sec=6.0)
+    """Moods of all turns but those of one voice in every sixth recording, which is then neutral."""
+    mood = _moods(t).join(t.turns().select(ID, "turn", "speaker"), [ID, "turn"])
+    mood = mood.filter((F.col(ID) % 6 > 0) | (F.col("speaker") != "spk_0")).drop("speaker")
+    clips = _clip_moods(t).unionByName(_clip_moods(t).withColumn(ID, -1 - F.col(ID)))
+    return report.speaker_emotions(_voices(t), mood, clips, budget_sec=6.0)
 
 
 _EMO = (
-    "tt AS (SELECT * FROM turns WHERE turn > 0 OR recording_id % 5 > 0), us AS (SELECT *, end_sec - start_sec AS sec, coalesce(sum(end_sec - start_sec) OVER (PARTITION BY recording_id, speaker ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tt WHERE end_sec - start_sec >= 0.35), "
-    f"vt AS (SELECT recording_id, speaker, arg_max(emotion, (sec, -f)) AS emotion FROM (SELECT recording_id, speaker, {_MOODS} AS emotion, sum(least(sec, 6.0 - before)) AS sec, min(turn) AS f FROM us WHERE before < 6.0 AND {_MOODS} <> '' AND recording_id % 6 > 0 GROUP BY ALL) GROUP BY ALL), "
-    "em AS (SELECT * FROM vt UNION ALL SELECT c.recording_id, coalesce(n.speaker, 'Speaker 1'), 'calm' FROM (SELECT DISTINCT recording_id FROM turns WHERE recording_id % 3 <> 0) c LEFT JOIN (SELECT DISTINCT recording_id, speaker FROM tt) n ON n.recording_id = c.recording_id WHERE c.recording_id NOT IN (SELECT recording_id FROM vt))"
+    "us AS (SELECT *, end_sec - start_sec AS sec, coalesce(sum(end_sec - start_sec) OVER (PARTITION BY recording_id, speaker ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM turns WHERE end_sec - start_sec >= 0.35), "
+    f"mo AS (SELECT recording_id, speaker, CASE WHEN {_MOODS} <> '' AND (recording_id % 6 > 0 OR speaker <> 'spk_0') THEN {_MOODS} END AS emotion, least(sec, 6.0 - before) AS sec, turn FROM us WHERE before < 6.0), "
+    "vt AS (SELECT recording_id, speaker, coalesce(arg_max(emotion, (sec, -f)) FILTER (emotion IS NOT NULL), 'neutral') AS emotion FROM (SELECT recording_id, speaker, emotion, sum(sec) AS sec, min(turn) AS f FROM mo GROUP BY ALL) GROUP BY ALL), "
+    "al AS (SELECT recording_id, recording_id AS own, speaker FROM turns UNION ALL SELECT -1 - recording_id, recording_id, speaker FROM turns), "
+    "em AS (SELECT * FROM vt UNION ALL SELECT DISTINCT recording_id, speaker, 'calm' FROM al WHERE own % 3 <> 0 AND recording_id NOT IN (SELECT recording_id FROM vt))"
 )
 register("speaker_emotions", lambda t: _by_speaker(t), "SELECT recording_id, speaker, emotion FROM em", "turns", _EMO)
 register(

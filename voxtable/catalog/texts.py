@@ -223,6 +223,14 @@ register(
     lambda t: transcripts.sentences(t.transcripts()).select(ID, F.col("pos").cast("long").alias("pos"), *[c.alias(n) for n, c in tx.dialogue_cues("text", CUES).items()]),
     "SELECT recording_id, pos, " + ", ".join(f"{v} AS {k}" for k, v in _CUE_FLAGS.items()) + f", {_CUE_FLAGS['addresses_a']} AND {_CUE_FLAGS['addresses_b']} AS strong FROM ({CATALOG['split_sentences'].sql})",
 )
+
+
+def _danda(t: Tables):
+    """Words of which every third is a sentence mark and one letter: content only where that mark isn't stripped."""
+    return t.words().withColumn("word", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("।"), F.left("word", F.lit(1)))).otherwise(F.col("word")))
+
+
+register("min_content_latin", lambda t: _danda(t).filter(~tx.shorter_than("word", 2, " .,?!")).select(ID, "pos", "word"), "SELECT recording_id, pos, word FROM (SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN '।' || left(word, 1) ELSE word END AS word) FROM words) WHERE length(trim(word, ' .,?!')) >= 2", "words")
 register("min_content", lambda t: t.words().filter(~tx.shorter_than("word", 2)).select(ID, "pos", "word"), "SELECT recording_id, pos, word FROM words WHERE length(trim(word, ' .,?!।')) >= 2", "words")
 
 # --- languages

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import squash_space, strip
 
 # Display names of known classes, then keyword rules in order.
@@ -66,21 +67,26 @@ def _slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def label_key(label) -> Column:
+def label_parts(label) -> Column:
+    """Key and display name of a label, as a struct: known labels, then the first keyword rule that fits, else the label itself."""
     raw = strip(F.coalesce(F.col(label) if isinstance(label, str) else label, F.lit("")))
-    slug, low = _slug(raw), F.lower(raw)
-    rules = F.when(raw == "", F.lit("")).when(slug.isin(*DISPLAY), slug)
-    for pattern, key, _ in KEYWORDS:
-        rules = rules.when(low.rlike(pattern), F.lit(key))
-    short = F.substring(slug, 1, 80)
-    return rules.otherwise(F.when(short != "", short).otherwise(F.substring(low, 1, 80)))
+    return let(F.struct(raw.alias("raw"), _slug(raw).alias("slug"), F.lower(raw).alias("low")), _parts)
 
 
-def label_display(label) -> Column:
-    raw = strip(F.coalesce(F.col(label) if isinstance(label, str) else label, F.lit("")))
-    slug, low = _slug(raw), F.lower(raw)
+def _parts(x: Column) -> Column:
+    parts = lambda key, display: F.struct(key.alias("key"), display.alias("display"))
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable(DISPLAY.items())])
-    rules = F.when(raw == "", F.lit("")).when(slug.isin(*DISPLAY), known[slug])
-    for pattern, _, display in KEYWORDS:
-        rules = rules.when(low.rlike(pattern), F.lit(display))
-    return rules.otherwise(squash_space(F.replace(raw, F.lit("_"), F.lit(" "))))
+    rules = F.when(x["raw"] == "", parts(F.lit(""), F.lit(""))).when(x["slug"].isin(*DISPLAY), parts(x["slug"], known[x["slug"]]))
+    for pattern, key, display in KEYWORDS:
+        rules = rules.when(x["low"].rlike(pattern), parts(F.lit(key), F.lit(display)))
+    short = F.substring(x["slug"], 1, 80)
+    own = F.when(short != "", short).otherwise(F.substring(x["low"], 1, 80))
+    return rules.otherwise(parts(own, squash_space(F.replace(x["raw"], F.lit("_"), F.lit(" ")))))
+
+
+def label_key(label) -> Column:
+    return label_parts(label)["key"]
+
+
+def label_display(label) -> Column:
+    return label_parts(label)["display"]

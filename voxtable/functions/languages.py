@@ -10,24 +10,23 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # Codes and names of the speech model's languages.
-LANGUAGES = dict(
-    pair.split(":")
-    for pair in (
-        "en:english zh:chinese de:german es:spanish ru:russian ko:korean fr:french ja:japanese pt:portuguese "
-        "tr:turkish pl:polish ca:catalan nl:dutch ar:arabic sv:swedish it:italian id:indonesian hi:hindi "
-        "fi:finnish vi:vietnamese he:hebrew uk:ukrainian el:greek ms:malay cs:czech ro:romanian da:danish "
-        "hu:hungarian ta:tamil no:norwegian th:thai ur:urdu hr:croatian bg:bulgarian lt:lithuanian la:latin "
-        "mi:maori ml:malayalam cy:welsh sk:slovak te:telugu fa:persian lv:latvian bn:bengali sr:serbian "
-        "az:azerbaijani sl:slovenian kn:kannada et:estonian mk:macedonian br:breton eu:basque is:icelandic "
-        "hy:armenian ne:nepali mn:mongolian bs:bosnian kk:kazakh sq:albanian sw:swahili gl:galician "
-        "mr:marathi pa:punjabi si:sinhala km:khmer sn:shona yo:yoruba so:somali af:afrikaans oc:occitan "
-        "ka:georgian be:belarusian tg:tajik sd:sindhi gu:gujarati am:amharic yi:yiddish lo:lao uz:uzbek "
-        "fo:faroese tk:turkmen ps:pashto mt:maltese sa:sanskrit lb:luxembourgish my:myanmar bo:tibetan "
-        "tl:tagalog mg:malagasy as:assamese tt:tatar haw:hawaiian ln:lingala ha:hausa ba:bashkir "
-        "jw:javanese su:sundanese yue:cantonese ht:haitian_creole nn:nynorsk"
-    ).split()
-)
-LANGUAGES = {code: name.replace("_", " ") for code, name in LANGUAGES.items()}
+LANGUAGES = {
+    "en": "english", "zh": "chinese", "de": "german", "es": "spanish", "ru": "russian", "ko": "korean", "fr": "french",
+    "ja": "japanese", "pt": "portuguese", "tr": "turkish", "pl": "polish", "ca": "catalan", "nl": "dutch", "ar": "arabic",
+    "sv": "swedish", "it": "italian", "id": "indonesian", "hi": "hindi", "fi": "finnish", "vi": "vietnamese", "he": "hebrew",
+    "uk": "ukrainian", "el": "greek", "ms": "malay", "cs": "czech", "ro": "romanian", "da": "danish", "hu": "hungarian",
+    "ta": "tamil", "no": "norwegian", "th": "thai", "ur": "urdu", "hr": "croatian", "bg": "bulgarian", "lt": "lithuanian",
+    "la": "latin", "mi": "maori", "ml": "malayalam", "cy": "welsh", "sk": "slovak", "te": "telugu", "fa": "persian",
+    "lv": "latvian", "bn": "bengali", "sr": "serbian", "az": "azerbaijani", "sl": "slovenian", "kn": "kannada",
+    "et": "estonian", "mk": "macedonian", "br": "breton", "eu": "basque", "is": "icelandic", "hy": "armenian",
+    "ne": "nepali", "mn": "mongolian", "bs": "bosnian", "kk": "kazakh", "sq": "albanian", "sw": "swahili", "gl": "galician",
+    "mr": "marathi", "pa": "punjabi", "si": "sinhala", "km": "khmer", "sn": "shona", "yo": "yoruba", "so": "somali",
+    "af": "afrikaans", "oc": "occitan", "ka": "georgian", "be": "belarusian", "tg": "tajik", "sd": "sindhi",
+    "gu": "gujarati", "am": "amharic", "yi": "yiddish", "lo": "lao", "uz": "uzbek", "fo": "faroese", "tk": "turkmen",
+    "ps": "pashto", "mt": "maltese", "sa": "sanskrit", "lb": "luxembourgish", "my": "myanmar", "bo": "tibetan",
+    "tl": "tagalog", "mg": "malagasy", "as": "assamese", "tt": "tatar", "haw": "hawaiian", "ln": "lingala", "ha": "hausa",
+    "ba": "bashkir", "jw": "javanese", "su": "sundanese", "yue": "cantonese", "ht": "haitian creole", "nn": "nynorsk",
+}
 PRIMARY = ("en", "kn", "hi", "ta", "te", "ml")
 DEFAULT_MODELS = {"kn": "vasista22/whisper-kannada-base"}
 

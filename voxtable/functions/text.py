@@ -469,9 +469,9 @@ def _overlap_suffix(p: Column, c: Column, text: Column, longest: int) -> Column:
     return F.when(F.size(c) == 0, F.lit("")).otherwise(kept)
 
 
-def shorter_than(text, n: int) -> Column:
-    """Whether less than ``n`` characters remain without outer punctuation."""
-    return F.length(F.btrim(F.coalesce(_c(text), F.lit("")), F.lit(" .,?!।"))) < n
+def shorter_than(text, n: int, marks: str = " .,?!।") -> Column:
+    """Whether less than ``n`` characters remain without the ``marks`` around them."""
+    return F.length(F.btrim(F.coalesce(_c(text), F.lit("")), F.lit(marks))) < n
 
 
 def preview(text, n: int = 160) -> Column:

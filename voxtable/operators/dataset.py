@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import class_weights
-from .ordered import Timeline, attach, number
+from .ordered import Timeline, attach, durable, number
 
 
 def label_ids(rows: DataFrame, label: str, out: str = "label_id") -> DataFrame:
     """Dense ids of the sorted distinct labels; integer labels pass through.
 
-    Distinct labels are ranked in ranges of their first two characters, so that no
-    task sorts all of them.
+    Distinct labels are ranked in ranges whose edges Spark samples, so that no task
+    sorts all of them, whatever they begin with.
     """
     if rows.schema[label].dataType.typeName() in ("integer", "long", "short", "byte"):
         return rows.withColumn(out, F.col(label).cast("long"))
     names = rows.filter(F.col(label).isNotNull()).select(label).distinct()
-    head = F.ascii(label) * F.lit(2**21) + F.ascii(F.substring(label, 2, 1))
-    ids = number(names, Timeline((label,), head, ()), out)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, as the ranges must be the same wherever they are read
+    ranged = durable(names.repartitionByRange(parts, label).withColumn("__range", F.spark_partition_id()))
+    ids = number(ranged, Timeline((label,), F.col("__range"), ()), out).drop("__range")
     return rows.join(ids.withColumn(out, F.col(out) - 1), label, "left")
 
 

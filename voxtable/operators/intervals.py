@@ -1,12 +1,14 @@
 """Joining timed words and phrases to speaker segments.
 
-Overlap joins carry the equality on recording and time bucket, so that a long
-recording is spread over its buckets and each pair is met once.  Nearest-segment
+Overlap joins carry the equality on recording, level of length and time bucket, so
+that a long recording is spread over its buckets and each pair is met once.  Nearest-segment
 lookups are as-of scans over segment edges, not pair enumeration.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +23,40 @@ BUCKET_SEC = 30.0
 def overlap_pairs(left: DataFrame, right: DataFrame, bucket_sec: float = BUCKET_SEC) -> DataFrame:
     """Pairs of one recording whose closed time intervals touch.
 
-    ``left`` needs ``l_pos, l_start, l_end``, ``right`` ``r_pos, r_start, r_end``.  A
-    pair is produced only in the later of its two first buckets, so no
-    de-duplication is needed.
+    ``left`` needs ``l_pos, l_start, l_end``, ``right`` ``r_pos, r_start, r_end``. A span has a level by its length: buckets
+    of level k are ``bucket_sec`` times 4^k long, and a span of that level is at most as long, so it lies in at most two
+    of them. Two spans meet at the higher of their levels, where the shorter one also lies in at most two buckets: a span
+    is listed at its own level and at each higher one that the other side has. A span as long as a recording is two rows,
+    not one for each bucket. A pair is produced only in the later of its two first buckets, so no de-duplication is needed.
     """
+    left, right = (df.withColumn(f"{s}_level", _level(f"{s}_start", f"{s}_end", bucket_sec)) for df, s in ((left, "l"), (right, "r")))
+    rows = left.select(F.lit("l").alias("s"), F.col("l_level").alias("k")).unionByName(right.select(F.lit("r").alias("s"), F.col("r_level").alias("k")))
+    seen = {"l": set(), "r": set()}
+    for row in rows.distinct().collect():  # a level for each fourfold length: some ten rows for any table
+        seen[row["s"]].add(row["k"])
+
+    def spread(df: DataFrame, side: str, others: set[int]) -> DataFrame:
+        own = F.col(f"{side}_level")
+        higher = F.filter(F.array(*[F.lit(k) for k in sorted(others)]).cast("array<int>"), lambda k: k > own)
+        listed = df.withColumn("__level", F.explode(F.concat(F.array(own), higher)))
+        width = F.lit(bucket_sec) * F.pow(F.lit(4.0), F.col("__level"))
+        first = F.floor(F.col(f"{side}_start") / width)
+        last = F.greatest(F.floor(F.col(f"{side}_end") / width), first)
+        return listed.withColumn(f"{side}_first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
 
-    def spread(df: DataFrame, side: str) -> DataFrame:
-        first = F.floor(F.col(f"{side}_start") / bucket_sec)
-        last = F.greatest(F.floor(F.col(f"{side}_end") / bucket_sec), first)
-        return df.withColumn(f"{side}_first", first).withColumn("__bucket", F.explode(F.sequence(first, last)))
-
-    pairs = spread(left, "l").join(spread(right, "r"), [ID, "__bucket"])
     met = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end"))
     once = F.col("__bucket") == F.greatest("l_first", "r_first")
-    return pairs.filter(met & once).drop("__bucket", "l_first", "r_first")
+    own = F.col("__level") == F.greatest("l_level", "r_level")
+    named = spread(right, "r", seen["l"])
+    key = (ID, "__level", "__bucket")
+    pairs = attach(spread(left, "l", seen["r"]), named, key, "inner")
+    return pairs.filter(met & once & own).drop("__level", "__bucket", "l_first", "r_first", "l_level", "r_level")
+
+
+def _level(start: str, end: str, bucket_sec: float) -> Column:
+    """The least k for which a bucket of level k is at least as long as the span."""
+    longer = F.greatest((F.col(end) - F.col(start)) / bucket_sec, F.lit(1.0))
+    return F.coalesce(F.ceil(F.round(F.log(longer) / math.log(4.0), 9)).cast("int"), F.lit(0))
 
 
 def _left(rows: DataFrame) -> DataFrame:
@@ -109,20 +131,21 @@ def assign_words(words: DataFrame, segments: DataFrame, min_conf: float = 0.35)
         .groupBy(ID, F.col("l_pos").alias("pos"))
         .agg(F.max("ov").alias("ov"), F.max_by("r_speaker", F.struct("ov", -F.col("r_pos"))).alias("hit"))
     )
-    scored = durable(words.drop("speaker", "confidence").join(best, [ID, "pos"], "left"))
+    scored = durable(attach(words.drop("speaker", "confidence"), best, (ID, "pos")))
     alone = scored.filter("hit is null").select(ID, "pos", midpoint().alias("t"))
     near = nearest(alone, _edges(segments)).select(ID, "pos", F.col("r_speaker").alias("near"))
-    scored = scored.join(near, [ID, "pos"], "left")
+    scored = attach(scored, near, (ID, "pos"))
     length = F.greatest(F.greatest(F.lit(0.0), F.col("end_sec") - F.col("start_sec")), F.lit(1e-3))
     scored = scored.withColumn(
         "confidence",
         F.when(F.col("hit").isNotNull(), F.col("ov") / length).when(F.col("near").isNotNull(), F.lit(0.25)),
     )
     scored = scored.withColumn("own", F.coalesce("hit", "near"))
-    first = scored.groupBy(ID).agg(F.min("pos").alias("__first"))
-    scored = durable(attach(scored, first))
-    anchor = (F.col("confidence") >= min_conf) | (F.col("pos") == F.col("__first"))
-    scored = carry(scored, by_position(), {"speaker": ("last", F.when(anchor, F.col("own")))})
+    # the first word of a recording is the one without a row before it
+    anchor = (F.col("confidence") >= min_conf) | F.col("__before").isNull()
+    scored = carry(
+        scored, by_position(), {"__before": ("lag", F.struct("pos"))}, {"speaker": ("last", F.when(anchor, F.col("own")))}
+    )
     return scored.select(*words.columns)
 
 
@@ -195,7 +218,7 @@ def assign_phrases(phrases: DataFrame, segments: DataFrame, min_overlap: float =
         F.max_by(F.struct("r_pos", "ov0", "ov1"), F.struct("ov", -F.col("ov0"), -F.col("r_pos"))).alias("top"),
         F.sum("ov").alias("total"),
     )
-    joined = durable(spoken.join(per_phrase, [ID, "pos"], "left")).withColumn("w", split_words("text"))
+    joined = durable(attach(spoken, per_phrase, (ID, "pos"))).withColumn("w", split_words("text"))
     whole = F.array(
         F.struct(
             F.col("top.r_pos").alias("r_pos"), F.col("top.ov0").alias("a"), F.col("top.ov1").alias("b"),
@@ -230,7 +253,7 @@ def assign_phrases(phrases: DataFrame, segments: DataFrame, min_overlap: float =
     alone = joined.filter("parts is null")
     middles = segments.select(ID, midpoint().alias("t"), F.col("pos").alias("r_pos"), F.col("speaker").alias("r_speaker"))
     near = nearest(alone.select(ID, "pos", midpoint().alias("t")), middles)
-    far = alone.join(near, [ID, "pos"]).select(
+    far = attach(alone, near, (ID, "pos"), "inner").select(
         ID, "pos", "r_pos", F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), F.col("text").alias("piece")
     )
     bag = placed.unionByName(far)
@@ -240,7 +263,7 @@ def assign_phrases(phrases: DataFrame, segments: DataFrame, min_overlap: float =
         [F.min("a").alias("min_a"), F.max_by("b", F.struct("a", "pos")).alias("last_b")],
     )
     who = segments.select(ID, F.col("pos").alias("r_pos"), "speaker")
-    return turns.join(who, [ID, "r_pos"]).select(
+    return attach(turns, who, (ID, "r_pos"), "inner").select(
         ID, F.col("r_pos").alias("turn"), "speaker", F.col("min_a").alias("start_sec"), F.col("last_b").alias("end_sec"),
         strip("text").alias("text"), strip("text").alias("text_original"),
         F.lit(0.0).alias("confidence"), F.lit("vad").alias("alignment"),
@@ -259,8 +282,7 @@ def assign_timed_text(rows: DataFrame, segments: DataFrame) -> DataFrame:
         pairs.withColumn("ov", shared).filter("ov > 0").groupBy(ID, F.col("l_pos").alias("pos"))
         .agg(F.max_by("r_speaker", F.struct("ov", -F.col("r_start"), -F.col("r_end"), -F.col("r_pos"))).alias("hit"))
     )
-    out = rows.join(best, [ID, "pos"], "left")
-    out = out.join(per_rec, [ID])
+    out = attach(attach(rows, best, (ID, "pos")), per_rec, (ID,), "inner")
     speaker = F.when(F.col("n") >= 2, F.coalesce("hit", "lead")).otherwise(F.col("lead"))
     return out.select(*rows.columns, speaker.alias("speaker"))
 
@@ -273,10 +295,10 @@ def speaker_at(phrases: DataFrame, segments: DataFrame) -> DataFrame:
         overlap_pairs(probe, _right(segments)).groupBy(ID, F.col("l_pos").alias("pos"))
         .agg(F.min_by("r_speaker", "r_pos").alias("inside"))
     )
-    found = durable(points.join(inside, [ID, "pos"], "left"))
+    found = durable(attach(points, inside, (ID, "pos")))
     near = nearest(found.filter("inside is null"), _edges(segments)).select(ID, "pos", "r_speaker")
-    found = found.join(near, [ID, "pos"], "left").withColumn("speaker", F.coalesce("inside", "r_speaker"))
-    named = durable(phrases.join(found.filter("speaker is not null").select(ID, "pos", "speaker"), [ID, "pos"]))
+    found = attach(found, near, (ID, "pos")).withColumn("speaker", F.coalesce("inside", "r_speaker"))
+    named = durable(attach(phrases, found.filter("speaker is not null").select(ID, "pos", "speaker"), (ID, "pos"), "inner"))
     turns = named.withColumn("turn", F.col("pos")).withColumn("text_original", F.col("text"))
     merged = merge_consecutive(turns.withColumn("alignment", F.lit("legacy")))
     return merged.withColumns({"start_sec": F.round("start_sec", 2), "end_sec": F.round("end_sec", 2)})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.log import read_analysis
 
 PAYLOAD = "audio_data"
 
@@ -22,7 +23,9 @@ def history(logs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
 
 
 def get_by_id(logs: DataFrame, id_: int) -> DataFrame:
-    return history_view(logs).filter(F.col("id") == id_)
+    """One entry without its payload, the list of sounds decoded where there is one."""
+    found = history_view(logs).filter(F.col("id") == id_)
+    return read_analysis(found) if "sounds_json" in found.columns else found
 
 
 def get_audio(logs: DataFrame, id_: int | None = None) -> DataFrame:

@@ -62,7 +62,10 @@ def score_summary(pred: DataFrame, n_classes: int | None = None) -> DataFrame:
 
 
 def class_report(pred: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Precision, recall, F1 and support per class, then their plain and weighted averages."""
+    """Precision, recall, F1 and support per class, then accuracy (as F1) and the plain and weighted averages.
+
+    Where a class of ``names`` occurs in no row, the row called accuracy is the micro average, as it is then usually shown.
+    """
     s = _scores(class_counts(pred, len(names) if names else None))
     label = F.col("label").cast("string")
     if names:
@@ -72,7 +75,14 @@ def class_report(pred: DataFrame, names: list[str] | None = None) -> DataFrame:
     weighted = lambda c: F.when(total > 0, F.sum(F.col(c) * F.col("support")) / total).otherwise(F.lit(0.0)).alias(c)
     macro = s.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support"))
     mean = s.agg(F.lit("weighted avg").alias("class"), *[weighted(c) for c in ("precision", "recall", "f1")], total.alias("support"))
-    return rows.unionByName(macro).unionByName(mean)
+    share = F.when(total > 0, F.sum("tp") / total).otherwise(F.lit(0.0))
+    whole = F.min(F.col("support") + F.col("predicted")) > 0
+    none = F.lit(None).cast("double")
+    overall = s.agg(
+        F.when(whole, "accuracy").otherwise("micro avg").alias("class"), F.when(whole, none).otherwise(share).alias("precision"),
+        F.when(whole, none).otherwise(share).alias("recall"), share.alias("f1"), total.alias("support"),
+    )
+    return rows.unionByName(overall).unionByName(macro).unionByName(mean)
 
 
 def confusion_matrix(pred: DataFrame, n_classes: int | None = None) -> DataFrame:

@@ -173,6 +173,8 @@ def speaker_emotions(
     ``recording_id, emotion`` (the recording's label).  Slices are weighted by their
     time within the budget; as each has at least ``min_sec``, a bounded number of
     first slices is enough, which the rank filter keeps small before any shuffle.
+    A speaker with slices but no label on them is neutral. Where a recording has no
+    slice at all, its own label, if any, is that of every speaker.
     """
     usable = turns.filter(
         (strip(F.coalesce("speaker", F.lit(""))) != "") & (F.col("end_sec") - F.col("start_sec") >= min_sec)
@@ -182,13 +184,12 @@ def speaker_emotions(
     first = usable.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)
     before = F.coalesce(F.sum("sec").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     cut = first.withColumn("sec", F.least("sec", F.lit(budget_sec) - before)).filter("sec > 0")
-    scored = cut.join(preds.filter("emotion <> ''"), [ID, "turn"])
-    weight = scored.groupBy(ID, "speaker", "emotion").agg(F.sum("sec").alias("sec"), F.min("turn").alias("first"))
-    voted = weight.groupBy(ID, "speaker").agg(
-        F.max_by("emotion", F.struct("sec", -F.col("first"))).alias("emotion")
-    )
-    with_vote = voted.select(ID).distinct()
-    rest = clip.filter("emotion <> ''").join(with_vote, ID, "left_anti")
+    said = attach(cut, preds.filter("emotion <> ''").select(ID, "turn", "emotion"), (ID, "turn"))
+    weight = said.groupBy(ID, "speaker", "emotion").agg(F.sum("sec").alias("sec"), F.min("turn").alias("first"))
+    best = F.max_by("emotion", F.when(F.col("emotion").isNotNull(), F.struct("sec", -F.col("first"))))
+    voted = weight.groupBy(ID, "speaker").agg(F.coalesce(best, F.lit("neutral")).alias("emotion"))
+    with_vote = voted.groupBy(ID).agg(F.lit(True).alias("__heard"))
+    rest = attach(clip.filter("emotion <> ''"), with_vote).filter("__heard is null").drop("__heard")
     names = detected_speakers(turns)
     rest = attach(rest, names).select(
         ID, F.explode(F.coalesce("speakers", F.array(F.lit("Speaker 1")))).alias("speaker"), "emotion"

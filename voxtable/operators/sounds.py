@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import is_noise, label_display, label_key
+from ..functions.labels import is_noise, label_parts
 from ..functions.text import is_meaningful_speech, strip
 from .islands import ID
 
@@ -44,9 +44,8 @@ def best_per_label(
     ``cap`` keeps the best labels of a recording only.
     """
     used = hits.filter(F.col("score") >= threshold) if per_window else hits
-    best = used.groupBy(ID, "label").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
-    first = used.groupBy(ID, "label").agg(F.min(F.struct("window_id", "pos")).alias("__first"))
-    ranked = best.join(first, [ID, "label"]).withColumn(
+    best = used.groupBy(ID, "label").agg(F.max("score").alias("score"), F.min(F.struct("window_id", "pos")).alias("__first"))
+    ranked = best.filter(F.col("score") >= threshold).withColumn(
         "rank", F.row_number().over(Window.partitionBy(ID).orderBy(F.desc("score"), "__first"))
     )
     if cap is not None:
@@ -59,16 +58,16 @@ def fuse_detectors(hits: DataFrame, max_results: int = 12, min_score: float = 0.
 
     Hits with the same normalised key become one: its best score, and the display
     name of the last hit that reached it.  ``hits`` carries ``detector_rank`` and
-    ``pos`` as its order.
+    ``pos`` as its order. Hits are first brought down to one row for each label as it
+    was written, so the rules for labels run once for each of those.
     """
-    clean = hits.withColumn("label", strip(F.coalesce("label", F.lit(""))))
-    clean = clean.filter((F.col("label") != "") & ~is_noise("label") & (F.col("score") >= min_score) & (F.col("score") >= 0))
-    keyed = clean.select(ID, "detector_rank", "pos", "score", label_key("label").alias("key"), label_display("label").alias("display"))
-    order = F.struct("detector_rank", "pos")
-    best = keyed.filter("key <> ''").groupBy(ID, "key").agg(
-        F.max("score").alias("score"),
-        F.max_by("display", F.struct(F.col("score"), F.col("detector_rank"), F.col("pos"))).alias("label"),
-        F.min(order).alias("first"),
+    clean = hits.withColumn("label", strip(F.coalesce("label", F.lit("")))).filter((F.col("score") >= min_score) & (F.col("score") >= 0))
+    written = clean.groupBy(ID, "label").agg(
+        F.max(F.struct("score", "detector_rank", "pos")).alias("top"), F.min(F.struct("detector_rank", "pos")).alias("first")
+    )
+    keyed = written.filter((F.col("label") != "") & ~is_noise("label")).select(ID, "top", "first", label_parts("label").alias("p"))
+    best = keyed.filter("p.key <> ''").groupBy(ID, F.col("p.key").alias("key")).agg(
+        F.max("top.score").alias("score"), F.max_by("p.display", "top").alias("label"), F.min("first").alias("first")
     )
     w = Window.partitionBy(ID).orderBy(F.desc("score"), "first")
     ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_results)

@@ -65,7 +65,7 @@ def spoken_turns(segments: DataFrame, phrases: DataFrame, recordings: DataFrame)
     )
     said = filter_script_mismatch(spread(attach(phrases, kind, (ID,), "inner"), ID, "pos"))
     # written before the filter, which would otherwise clean every text a second time
-    said = durable(said.drop("lang")).filter(~shorter_than("text", 2))
+    said = durable(said.drop("lang")).filter(~shorter_than("text", 2, " .,?!"))
     part = lambda k: said.filter(F.col("kind") == k).drop("kind")
     kannada, single, several = part("kannada"), part("single"), part("several")
     keep = lambda rows, kept: rows.join(kept.select(ID, "pos"), [ID, "pos"], "left_semi")

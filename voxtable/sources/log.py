@@ -43,6 +43,20 @@ def read_analysis(log: DataFrame) -> DataFrame:
     return log.withColumn("sounds", F.coalesce(sounds, empty)).drop("sounds_json")
 
 
+def write_lookup(log: DataFrame, path: str, *keys: str, rows: int = 1 << 20) -> None:
+    """The log laid out for lookups by ``keys`` (the first one leads): ranged and sorted by it, with Bloom filters for all.
+
+    A file covers one range of the first key, so its statistics rule out every other file; for the other keys the Bloom
+    filters of the row groups do. ``rows`` is about how many rows a file gets.
+    """
+    files = max(1, -(-log.count() // rows))
+    laid = log.repartitionByRange(files, keys[0]).sortWithinPartitions(keys[0])
+    writer = laid.write.mode("append")
+    for k in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", str(rows))
+    writer.parquet(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All entries appended so far, without the column of the day folders."""
     return spark.read.parquet(path).drop("day")
