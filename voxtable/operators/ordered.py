@@ -20,6 +20,7 @@ Only the chunk table is ever windowed by the bare key.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -93,17 +94,22 @@ def by_position(
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write a result to the shared checkpoint folder and go on from there.
+    """Write a result as a table to the shared checkpoint folder and go on from there.
 
     The carries read their input twice, so a rule of several ordered steps would
     run its first step many times over; such rules cut the lineage between steps.
-    It also means that a lost executor costs only the current step.
+    It also means that a lost executor costs only the current step. A written table is
+    preferred to a checkpoint, whose plan still drags along what it was made from: with
+    some dozen joins behind it, planning the next step takes longer than running it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(_checkpoint_dir(spark))
-    return df.checkpoint()
+    if "void" in df.schema.simpleString():  # a column of nulls has no type in a file
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
+        return df.checkpoint()
+    folder = f"{_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -457,7 +463,8 @@ def join_text(
 def attach(df: DataFrame, per_key: DataFrame, key: Sequence[str] = ("recording_id",), how: str = "left") -> DataFrame:
     """Put per-key values on the rows; a join, so that adaptive skew handling can split a hot key.
 
-    Keys are compared as structs: a null key meets a null key.
+    A null key meets a null key.
     """
-    named = per_key.select(F.struct(*key).alias("__of"), *[c for c in per_key.columns if c not in key])
-    return df.join(named, F.struct(*[df[c] for c in key]) == named["__of"], how).drop("__of")
+    named = per_key.select(*[F.col(c).alias(f"__of_{c}") for c in key], *[c for c in per_key.columns if c not in key])
+    same = [df[c].eqNullSafe(named[f"__of_{c}"]) for c in key]
+    return df.join(named, same, how).drop(*[f"__of_{c}" for c in key])

@@ -45,7 +45,8 @@ def _relabel(turns: DataFrame, verdict: DataFrame) -> DataFrame:
     consecutive turns changes nothing in a recording already merged, but the others
     must stay as they are, so only the collapsing ones pass through it.
     """
-    marked = attach(turns, verdict)
+    # one row a recording, read by both branches
+    marked = attach(turns, durable(verdict))
     same = marked.filter("__to is null").drop("__to")
     moved = marked.filter("__to is not null").withColumn("speaker", F.col("__to")).drop("__to")
     return same.unionByName(merge_consecutive(moved), allowMissingColumns=True)
@@ -130,13 +131,11 @@ def normalize_turns(turns: DataFrame, language: str = "lang") -> DataFrame:
     ``turns`` carries a per-recording language column.  Turns aligned word by word
     (``whisperx``) are only merged.  The language limits are columns.
     """
-    langs = turns.groupBy(ID).agg(F.max(language).alias(language))
     aligned = "alignment" in turns.columns
-    fixed = turns.groupBy(ID).agg(
-        (F.max(F.col("alignment") == "whisperx") if aligned else F.max(F.lit(False))).alias("__fixed")
+    state = turns.groupBy(ID).agg(
+        F.max(language).alias(language), (F.max(F.col("alignment") == "whisperx") if aligned else F.max(F.lit(False))).alias("__fixed")
     )
     merged = merge_consecutive(turns.drop(language))
-    state = langs.join(fixed, ID)
     merged = durable(attach(merged, state).withColumn("__kn", is_kannada(language)))
     keep = merged.filter(F.coalesce("__fixed", F.lit(False))).drop("__fixed", "__kn", language)
     loose = merged.filter(~F.coalesce("__fixed", F.lit(False))).drop("__fixed", language)
