@@ -34,10 +34,27 @@ class Encoder:
         if cut not in ("words", "spaces"):
             raise ValueError(f"unknown cut {cut}")
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
-        self.pieces = _words if cut == "words" else _spaces
+        self.pieces, self.found = (_words, self._by_set) if cut == "words" else (_spaces, self._by_lookup)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cuts = [self.pieces(t) for t in texts]
+        return self.found([self.pieces(t) for t in texts])
+
+    def _by_set(self, cuts: list[list[str]]) -> list[bytes]:
+        """Missing pieces by set operations, then the ids piece by piece; the faster way for words."""
+        wanted = set().union(*cuts)
+        missing = list(wanted.difference(self.ids))
+        if len(self.ids) + len(missing) > KEPT_PIECES:
+            self._forget()
+            missing = list(wanted.difference(self.ids))
+        self.ids.update(self._direct(missing))
+        out = [b"".join(map(self.ids.__getitem__, cut)) for cut in cuts]
+        for p in missing:
+            if len(p) > KEPT_CHARS:
+                del self.ids[p]
+        return out
+
+    def _by_lookup(self, cuts: list[list[str]]) -> list[bytes]:
+        """One look-up a piece gives its ids or tells that it is missing; the faster way for pieces with spaces."""
         known = self.ids.get
         parts = [list(map(known, cut)) for cut in cuts]
         open_ = [(i, cuts[i], part) for i, part in enumerate(parts) if None in part]
@@ -45,11 +62,15 @@ class Encoder:
             new = self._direct(list({p for _, cut, part in open_ for p, ids in zip(cut, part, strict=True) if ids is None}))
             for i, cut, part in open_:
                 parts[i] = [new[p] if ids is None else ids for p, ids in zip(cut, part, strict=True)]
-            if len(self.ids) + len(new) > KEPT_PIECES:  # the older half, in which frequent pieces are, stays
-                self.ids = dict(islice(self.ids.items(), KEPT_PIECES // 2))
+            if len(self.ids) + len(new) > KEPT_PIECES:
+                self._forget()
             self.ids.update((p, ids) for p, ids in new.items() if len(p) <= KEPT_CHARS)
         return [b"".join(part) for part in parts]
 
+    def _forget(self) -> None:
+        """Keep the older half, in which frequent pieces are."""
+        self.ids = dict(islice(self.ids.items(), KEPT_PIECES // 2))
+
     def _direct(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that aren't remembered; a word with one stop after it is the word's ids and the stop's."""
         stopped = {p: p[:-1] for p in pieces if p[-1:] in (".", ",") and _letters(p[:-1])}
