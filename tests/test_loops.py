@@ -97,3 +97,34 @@ def test_long_text(spark):
     words = [f"w{draw.randrange(4000)}" for _ in range(20_000)]
     text = " ".join(words + ["one two three four"] * 50 + words[:100])
     assert answers(spark, [text], tx.collapse_ngrams) == [ngrams(text)]
+
+
+def test_word_repeats(spark):
+    """A word four or more times in a row, against walking over the words; case counts in the form for scripts."""
+    draw = random.Random(7)
+    texts = [" ".join(draw.choice(["an", "An", "ana", "été", "Été", "x1", "b"]) for _ in range(draw.randint(1, 30))) for _ in range(300)]
+
+    def walk(text, same):
+        words, out, i = text.split(" "), [], 0
+        while i < len(words):
+            n = next((k for k in range(i, len(words)) if not same(words[k], words[i])), len(words)) - i
+            out += words[i : i + 1] if n > 3 else words[i : i + n]
+            i += n
+        return " ".join(out)
+
+    assert answers(spark, texts, tx.collapse_word_repeats) == [walk(t, lambda a, b: a.lower() == b.lower()) for t in texts]
+
+
+def test_phrase_repeats(spark):
+    """Said twice or more in a row, a phrase stays once, and nothing that doesn't repeat goes."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    plain = [" ".join(word() for _ in range(12)) for _ in range(50)]
+    looped = []
+    for t in plain:
+        w = t.split()
+        i = draw.randrange(8)
+        n = draw.randint(1, 4)
+        looped.append(" ".join(w[:i] + w[i : i + n] * draw.randint(2, 5) + w[i + n :]))
+    assert answers(spark, looped, tx.collapse_phrase_repeats) == plain
+    assert answers(spark, plain, tx.collapse_phrase_repeats) == plain
