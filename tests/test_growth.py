@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtable.functions import text as tx
 from voxtable.operators.transcripts import clean_transcript
+from voxtable.plans.analyze import spoken_pieces
 
 
 def plan(df):
@@ -26,3 +27,12 @@ def test_phrases_as_by_the_pattern(spark):
     assert both.filter(~F.col("new").eqNullSafe(F.col("old"))).collect() == []
     assert both.filter("new <> t").count() > 300
     assert "{2,78}" not in plan(clean_transcript(df, "t"))
+
+
+def test_pieces_get_their_language_once(spark):
+    """The codes of the pieces are found once for texts and languages, and not again by each reader."""
+    rows = [(1, 0, "Hello there friends", None, "auto"), (1, 1, "ನಮಸ್ಕಾರ", "Greetings", "auto"), (2, 0, " ", None, "en"), (None, 0, "Hello you all", None, None)]
+    found = spoken_pieces(spark.createDataFrame(rows, "recording_id long, pos long, original string, translated string, lang string"))
+    assert "A-Za-z" not in plan(found)
+    got = {r.recording_id: (r.transcript, r.language, r.languages) for r in found.collect()}
+    assert got == {1: ("Hello there friends ನಮಸ್ಕಾರ", "multi", ["en", "kn"]), None: ("Hello you all", "en", ["en"])}
