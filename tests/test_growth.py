@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from voxtable.functions import text as tx
+from voxtable.operators.embeddings import cluster_speakers
 from voxtable.operators.transcripts import clean_transcript
 from voxtable.plans.analyze import spoken_pieces
 
@@ -13,6 +14,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_clustering_is_dealt_out(spark):
+    """Few bytes but much work: the recordings must not be put together in one task for their small size."""
+    rows = [(r, p, [float(p % 2), 1.0 - p % 2, 0.1 * r]) for r in range(4) for p in range(6)]
+    named = cluster_speakers(spark.createDataFrame(rows, "recording_id long, pos long, vec array<double>"))
+    assert "REPARTITION_BY_NUM" in plan(named)
+    assert named.count() == len(rows)
+
+
 def test_phrases_as_by_the_pattern(spark):
     """Spaces are looked at, not every length at every character; the texts are those that the pattern gives."""
     draw = random.Random(5)
