@@ -45,3 +45,39 @@ def test_pieces_get_their_language_once(spark):
     assert "A-Za-z" not in plan(found)
     got = {r.recording_id: (r.transcript, r.language, r.languages) for r in found.collect()}
     assert got == {1: ("Hello there friends ನಮಸ್ಕಾರ", "multi", ["en", "kn"]), None: ("Hello you all", "en", ["en"])}
+
+
+def test_words_travel_once_a_step(spark, monkeypatch):
+    """Names found for words, runs and turns come to the chunk where the words lie; the words aren't dealt out by run or speaker."""
+    from voxtable.operators import intervals, islands
+
+    plans = []
+
+    def noted(module):
+        before = module.durable
+        monkeypatch.setattr(module, "durable", lambda df: plans.append(plan(df)) or before(df))
+
+    noted(intervals), noted(islands)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        schema = "recording_id long, pos long, word string, start_sec double, end_sec double, score double, speaker string, confidence double"
+        rows = [(r, p, f"w{p}", float(p), p + 0.9, 0.5, None, None) for r in (1, 2, None) for p in range(20)]
+        words = spark.createDataFrame(rows, schema)
+        segments = spark.createDataFrame(
+            [(r, i, "AB"[i % 2], 4.0 * i + 0.3, 4.0 * i + 4.3) for r in (1, 2) for i in range(5)], "recording_id long, pos long, speaker string, start_sec double, end_sec double"
+        )
+        named = intervals.prefer_given_speakers(words, segments)
+        # before: a join of all words by recording, and two by recording and position
+        assert "hashpartitioning(coalesce(recording_id" not in plan(named) and "hashpartitioning(coalesce(pos" not in plan(named)
+        got = {(r.recording_id, r.pos): (r.speaker, r.confidence and round(r.confidence, 6)) for r in named.collect()}
+        assert {k: got[1, k] for k in (0, 1, 4, 5)} == {0: ("A", 0.666667), 1: ("A", 1.0), 4: ("B", 0.666667), 5: ("B", 1.0)}
+        assert got[None, 3] == (None, None) and len(got) == 60
+        plans.clear()
+        turns = islands.words_to_turns(intervals.durable(named), chunk_rows=3)
+        assert len(plans) == 2 and plans[1].count("Exchange hash") == 1 and "word#" not in plan(turns)
+        said = sorted((r.turn, r.speaker, r.text, round(r.confidence, 6)) for r in turns.collect() if r.recording_id == 1)
+        assert [(t, s, x) for t, s, x, _ in said][:2] == [(0, "Speaker 1", "w0 w1 w2 w3"), (4, "Speaker 2", "w4 w5 w6 w7")]
+        first = 0.6 / 0.9
+        assert said[0][3] == round((((first + 1) / 2 + 1) / 2 + 1) / 2, 6)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
