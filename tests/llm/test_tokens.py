@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from voxtable.llm.tokens import encoder
+from voxtable.llm.tokens import Encoder, encoder
 
 KINDS = [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaces")]
 ODD = [
@@ -38,6 +38,25 @@ def test_random_texts(file, cut, text):
     assert encoder(path, cut).encode([text])[0] == whole(_kept(path), text)
 
 
+def test_missing_pieces_are_encoded_together():
+    """New words cost a few texts for the tokenizer, not one each; their ids are cut apart again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [f"{a}{b}{c}" for a in ("Qua", "zé", "\u0120x", "<|endoftext|>") for b in "aeiouy" for c in ("rn", "l.", "k%%%", "'s", "0,7")]
+    texts = [" ".join(words), "\n".join(words), "a\t" + "  ".join(words), " b  " + "\x85".join(words)]
+    made, sent = Encoder(path, "spaces"), []
+    real = made.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, some, **how):
+            sent.extend(some)
+            return real.encode_batch_fast(some, **how)
+
+    made.tokenizer = Counting()
+    assert made.encode(texts) == [whole(real, t) for t in texts]
+    assert len(sent) < len(words) // 8
+    assert made.encode(texts[:2]) == [whole(real, t) for t in texts[:2]]
+
+
 _tokenizers = {}
 
 
