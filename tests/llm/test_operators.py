@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxtable.llm import common, decontamination, language, lines, lm, near_duplicates, packing, personal, quality, token_files, toxicity
+from voxtable.llm import common, components, decontamination, language, lines, lm, near_duplicates, packing, personal, quality, token_files, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, key string"
 
@@ -186,6 +186,29 @@ def test_similar_copies_of_one_original(spark):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_links_and_labels_in_few_files(spark, monkeypatch):
+    """Few links and labels are written to one file, however many tasks find them."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, tables = {k: spark.conf.get(k) for k in conf}, []
+
+    def noted(df, purpose):
+        tables.append((purpose, common.written(df, purpose)))
+        return tables[-1][1]
+
+    for module in (near_duplicates, components):
+        monkeypatch.setattr(module, "written", noted)
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(40)) + " more" * j) for i in range(40) for j in range(2)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+    assert {len(t.inputFiles()) for purpose, t in tables if purpose in ("links", "labels") and not t.isEmpty()} == {1}
+
+
 def test_language(spark, docs):
     rows = [(i, ("the thing and that " if i % 2 else "der hund und das ") * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)]
     model = language.train_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, small_batches, texts, written
-from .components import components
+from .components import components, files
 from .lm import Hashes, tokens
 
 WORDS = 5
@@ -152,7 +152,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     rows = classes.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    found = written(rows.join(shared, "key"), "buckets").distinct()
+    buckets = written(rows.join(shared, "key"), "buckets")
+    n = files(buckets.count())  # a row of a bucket gives one link at most
+    found = buckets.distinct()
     weight = found.groupBy("node").agg(F.sum("size").alias("weight"))
     best = found.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
     pairs = found.join(best, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -162,7 +164,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = written(plain.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "node long, found binary"), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("node").alias("b"), F.col("found").alias("found_b"))
-    links = written(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    links = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_confirmed(percent), "a long, b long")
+    links = written(links.repartition(n), "links")  # the sets keep all tasks busy, the links fill few files
     label = components(links)
 
     placed = found.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -175,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("key", "node", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     more = open_.join(sets.hint("merge"), "node").groupBy("key", "one", "two").applyInPandas(_within(percent), "a long, b long")
-    more = written(more, "links")
+    more = written(more.repartition(n), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
